@@ -217,11 +217,12 @@ class Encoder:
                 first, *rest = t.split(" ")
                 split.append([first, *map(" ".__add__, rest)])
         known = self.known
-        new = list({p for s in split if s is not None for p in s} - known.keys())
+        pieces = {p for s in split if s is not None for p in s}
+        new = [p for p in pieces if p not in known]
         if len(known) + len(new) > REMEMBERED:
             short = {p: v for p, v in known.items() if len(p) <= 8}
             self.known = known = short if len(short) <= REMEMBERED // 2 else {}
-            new = list({p for s in split if s is not None for p in s} - known.keys())
+            new = [p for p in pieces if p not in known]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             known.update(zip(part, self._encode(part), strict=True))
