@@ -85,14 +85,14 @@ def write_file(uri: str, data) -> None:
     where, path = store(uri)
     where.create_dir(posixpath.dirname(path), recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.tmp"
-    with where.open_output_stream(own) as out:
+    with where.open_output_stream(own, compression=None) as out:
         out.write(data)
     where.move(own, path)
 
 
 def read_file(uri: str) -> bytes:
     where, path = store(uri)
-    with where.open_input_stream(path) as f:
+    with where.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
