@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from lattica.llm import decontaminate, exact_dedup, mixing, simhash, sst, warc
+from lattica.llm import decontaminate, exact_dedup, mixing, secrets, simhash, sst, warc
 
-MODULES = [sst, simhash, warc, decontaminate, mixing, exact_dedup]
+MODULES = [secrets, sst, simhash, warc, decontaminate, mixing, exact_dedup]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items() if q}
