@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import materialize, table
+from lattica.llm.shared import fits, materialize, table
 
-#: Rows of a table that is broadcast at most; beyond it, joins shuffle. Signatures and ids take 16 bytes a row, shingles some 60.
-BROADCAST_ROWS = 200_000
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -39,11 +37,6 @@ def _hash_of(n: int):
     return lambda s: F.xxhash64(*(F.get(F.split(s, " "), F.lit(j)) for j in range(n)))
 
 
-def _fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows; counts no further than the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_matched, containment) of documents that hold at least threshold of an item's distinct shingles.
 
@@ -68,7 +61,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     sig = it.select("item_id", F.explode(F.slice(F.array_sort(by_hash), F.lit(1), keep.cast("int"))).alias("h")).distinct()
     sig = materialize(sig, "signatures")
     lengths = sorted(r[0] for r in it.select("len").distinct().collect())  # n values at most
-    small_sig = _fits(sig)
+    small_sig = fits(sig)
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     words = d.select("doc_id", normal_words(F.col("text")).alias("w"))
@@ -81,7 +74,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     cand = materialize(seen.join(small_sig, "h").select("doc_id", "item_id").distinct(), "candidates")
 
     ids = cand.select("doc_id").distinct()
-    near = d.join(_fits(ids), "doc_id", "left_semi").select("doc_id", normal_words(F.col("text")).alias("w"))
+    near = d.join(fits(ids), "doc_id", "left_semi").select("doc_id", normal_words(F.col("text")).alias("w"))
     held = None
     for k in lengths:
         part = near.select("doc_id", F.explode(F.array_distinct(_texts(F.col("w"), k))).alias("shingle"))
@@ -89,7 +82,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     if held is None:
         held = near.select("doc_id", F.lit("").alias("shingle")).limit(0)
     each = it.select("item_id", "version", "n_shingles", F.explode("shingles").alias("shingle"))
-    hits = held.join(_fits(each), "shingle").join(cand, ["doc_id", "item_id"], "left_semi")
+    hits = held.join(fits(each), "shingle").join(cand, ["doc_id", "item_id"], "left_semi")
     found = hits.groupBy("doc_id", "item_id", "version", "n_shingles").agg(F.count_distinct("shingle").alias("n_matched"))
     found = found.where(F.col("n_matched") >= F.ceil(F.round(threshold * F.col("n_shingles"), 6)))
     return found.select("doc_id", "item_id", F.col("n_shingles").cast("long").alias("n_shingles"), "n_matched", (F.col("n_matched") / F.col("n_shingles")).alias("containment"))
@@ -98,7 +91,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without the documents that hold an item; rows without a doc_id stay."""
     bad = materialize(contaminated(docs, items, n, threshold).select("doc_id").distinct().withColumnRenamed("doc_id", "_bad_id"), "contaminated")
-    return docs.join(_fits(bad), F.col("doc_id").cast("long") == F.col("_bad_id"), "left_anti")
+    return docs.join(fits(bad), F.col("doc_id").cast("long") == F.col("_bad_id"), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from lattica.llm import decontaminate, exact_dedup, mixing, secrets, simhash, sst, warc
+import corpus_pipeline
+from lattica.llm import decontaminate, exact_dedup, mixing, secrets, simhash, sst, toxicity, warc
 
-MODULES = [secrets, sst, simhash, warc, decontaminate, mixing, exact_dedup]
+MODULES = [secrets, sst, simhash, warc, decontaminate, toxicity, mixing, exact_dedup]
 
-QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+QUERIES = {"pipeline": corpus_pipeline.run} | {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items() if q}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -58,6 +58,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+#: Rows of a table that is broadcast at most; beyond it, joins shuffle. Ids take 16 bytes a row, five-word shingles some 60.
+BROADCAST_ROWS = 200_000
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has few rows; counts no further than the bound."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

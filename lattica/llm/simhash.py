@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.shared import materialize, small_batches, table
+from lattica.llm.shared import fits, materialize, small_batches, table
 
 _BLOCK = 1 << 15
 
@@ -99,6 +99,17 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: i
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, words: int = 5, radius: int = 2, seed: int = 42) -> DataFrame:
+    """The rows of docs less those whose near-duplicate group has a smaller doc_id; columns as in docs.
+
+    Texts without words are all alike: one of them stays. Rows without a doc_id stay.
+    Rows that repeat the doc_id which stays are repeated in the result too.
+    """
+    found = simhash_components(docs, words, radius, seed)
+    gone = materialize(found.where("doc_id > component_id").select(F.col("doc_id").alias("_gone_id")).distinct(), "simhash-gone")
+    return docs.join(fits(gone), F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
