@@ -1,0 +1 @@
+"""Graph analytics as sparse linear algebra on Spark DataFrames."""
