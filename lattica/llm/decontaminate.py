@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import fits, materialize, table
+from lattica.llm.shared import fits, fresh, materialize, table
 
 SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -90,8 +90,9 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without the documents that hold an item; rows without a doc_id stay."""
-    bad = materialize(contaminated(docs, items, n, threshold).select("doc_id").distinct().withColumnRenamed("doc_id", "_bad_id"), "contaminated")
-    return docs.join(fits(bad), F.col("doc_id").cast("long") == F.col("_bad_id"), "left_anti")
+    (bad_id,) = fresh(docs, "bad_id")
+    bad = materialize(contaminated(docs, items, n, threshold).select(F.col("doc_id").alias(bad_id)).distinct(), "contaminated")
+    return docs.join(fits(bad), F.col("doc_id").cast("long") == F.col(bad_id), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import WORD, materialize, table
+from lattica.llm.shared import WORD, fresh, materialize, table
 
 #: Rows that one window of the systematic draw sorts at most, about.
 GROUP = 4096
@@ -89,10 +89,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     source; a source of total size 0 gives no rows. An empty table gives an empty one.
     """
     plan = materialize(mix_plan(materialize(sizes(docs), "mix-sizes"), weights, share, cap, seed), "mix-plan")
-    c = plan.where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").cast("int").alias("_mix_copies"))
-    d = docs.withColumn("_mix_words", n_words(F.col("text").cast("string")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size"))
-    return d.join(c, on).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    m_id, m_source, m_size, m_copies, m_words, m_copy = fresh(docs, "m_id", "m_source", "m_size", "m_copies", "m_words", "m_copy")
+    c = plan.where("copies > 0").select(F.col("doc_id").alias(m_id), F.col("source").alias(m_source), F.col("size").alias(m_size), F.col("copies").cast("int").alias(m_copies))
+    d = docs.withColumn(m_words, n_words(F.col("text").cast("string")))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(m_id)) & F.col("source").cast("string").eqNullSafe(F.col(m_source)) & (F.col(m_words) == F.col(m_size))
+    return d.join(c, on).withColumn(m_copy, F.explode(F.sequence(F.lit(1), F.col(m_copies)))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

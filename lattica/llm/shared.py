@@ -58,6 +58,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, lengthened until none is a column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 #: Rows of a table that is broadcast at most; beyond it, joins shuffle. Ids take 16 bytes a row, five-word shingles some 60.
 BROADCAST_ROWS = 200_000
 

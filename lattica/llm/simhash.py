@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.shared import fits, materialize, small_batches, table
+from lattica.llm.shared import fits, fresh, materialize, small_batches, table
 
 _BLOCK = 1 << 15
 
@@ -106,8 +106,9 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = 2, seed: int = 42)
     Rows that repeat the doc_id which stays are repeated in the result too.
     """
     found = simhash_components(docs, words, radius, seed)
-    gone = materialize(found.where("doc_id > component_id").select(F.col("doc_id").alias("_gone_id")).distinct(), "simhash-gone")
-    return docs.join(fits(gone), F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+    (gone_id,) = fresh(docs, "gone_id")
+    gone = materialize(found.where("doc_id > component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "simhash-gone")
+    return docs.join(fits(gone), F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import small_batches, table
+from lattica.llm.shared import fresh, small_batches, table
 
 THRESHOLD = 0.7
 #: Labelled rows that the lexicon is learned from at most: these many toxic ones and these many others, by a hash of their ids.
@@ -290,8 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ot
     return learn((r["text"], r["toxic"]) for r in rows.select("text", "toxic", "doc_id").toLocalIterator())
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score; clashing names are replaced. Null and empty texts score the base rate."""
+def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of that name; one that docs has already is replaced. Null and empty texts score the base rate."""
     spark = docs.sparkSession
     small_batches(spark, 1000)
     sent = spark.sparkContext.broadcast(model)  # a lexicon, learned from a bounded sample
@@ -303,14 +303,14 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     score = F.pandas_udf(run, "double")
     score = score.asNondeterministic()  # else a filter on it would run it again
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return docs.withColumn(name, score(F.col("text").cast("string")))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with the columns of docs."""
     model = train(docs, labels)
-    named = docs.withColumnRenamed("score", "_own_score")  # if there is one
-    return scores(named, model).where(F.col("score") < threshold).drop("score").withColumnRenamed("_own_score", "score")
+    (own,) = fresh(docs, "score")
+    return scores(docs, model, own).where(F.col(own) < threshold).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
