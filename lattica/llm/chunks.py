@@ -28,7 +28,7 @@ CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 48 << 20
 NO_ID = np.iinfo(np.int64).max
 MANIFEST = "uri string, docs long, bytes long"
-ROWS = "bucket int, uri string, blob binary"
+ROWS = "bucket int, chunk long, blob binary"
 
 
 class Chunk:
@@ -57,7 +57,7 @@ class Chunk:
 
 
 def write_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Write docs (doc_id, text; null texts are empty) and return the manifest, a row per chunk.
+    """Write docs (doc_id, text; null texts are empty) and return the manifest, a row per chunk with its number.
 
     Only files in the manifest count; a task that runs again writes others.
     """
@@ -86,45 +86,49 @@ def write_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return materialize(rows.mapInArrow(run, MANIFEST), "chunk-manifest")
+    written = materialize(rows.mapInArrow(run, MANIFEST), "chunk-files")
+    return materialize(written.withColumn("chunk", F.monotonically_increasing_id()), "chunk-manifest")
 
 
-def bucket_count(manifest: DataFrame) -> int:
-    return 1 + (manifest.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES
+def bucket_count(manifest: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    return 1 + (manifest.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes
 
 
 Answers = list[dict[int, bytes]]
 
 
-def each_chunk(manifest: DataFrame, rounds: list[DataFrame], work: Callable[[str, Chunk, Answers], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """work() over every chunk with its answers from earlier rounds, by bucket."""
-    rows = manifest.select("uri")
+def each_chunk(manifest: DataFrame, rounds: list[DataFrame], work: Callable[[int, Chunk, Answers], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work() over every chunk with its answers from earlier rounds, by bucket.
+
+    Chunks and answers are dealt by chunk to a stated number of partitions: a manifest row is small,
+    so adaptive execution would gather all chunks in a few tasks.
+    """
+    tasks = partitions(manifest.sparkSession) * 2
+    rows = manifest.select("chunk", "uri").repartition(tasks, "chunk")
     for k, answers in enumerate(rounds):
-        own = answers.groupBy("uri").agg(F.collect_list(F.struct("bucket", "blob")).alias(f"answers{k}"))
-        rows = rows.join(own, "uri", "left")
+        own = answers.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias(f"answers{k}"))
+        rows = rows.join(own, "chunk", "left")
     n = len(rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                uri = b.column(0)[i].as_py()
-                got = [{x["bucket"]: x["blob"] for x in b.column(1 + k)[i].as_py() or []} for k in range(n)]
-                yield from work(uri, Chunk(read_file(uri)), got)
+                got = [{x["bucket"]: x["blob"] for x in b.column(2 + k)[i].as_py() or []} for k in range(n)]
+                yield from work(b.column(0)[i].as_py(), Chunk(read_file(b.column(1)[i].as_py())), got)
 
-    spread = rows.repartition(partitions(manifest.sparkSession) * 2, "uri") if not rounds else rows
-    return spread.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def ask(manifest: DataFrame, rounds: list[DataFrame], emit: Callable[[Chunk, Answers], Iterator[tuple[int, bytes]]], solve: Callable[[list[bytes]], list[bytes]], name: str) -> DataFrame:
     """One round: emit() gives a chunk's (bucket, blob), solve() a bucket's answers, one for each blob."""
 
-    def work(uri: str, chunk: Chunk, got: Answers) -> Iterator[pa.RecordBatch]:
+    def work(number: int, chunk: Chunk, got: Answers) -> Iterator[pa.RecordBatch]:
         rows = list(emit(chunk, got))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([uri] * len(rows), pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "uri", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "chunk", "blob"])
 
     def answer(t: pa.Table) -> pa.Table:
         blobs = solve(t.column("blob").to_pylist())
-        return pa.table({"bucket": t.column("bucket"), "uri": t.column("uri"), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"bucket": t.column("bucket"), "chunk": t.column("chunk"), "blob": pa.array(blobs, pa.binary())})
 
     return materialize(each_chunk(manifest, rounds, work, ROWS).groupBy("bucket").applyInArrow(answer, ROWS), name)
 

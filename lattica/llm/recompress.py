@@ -121,7 +121,7 @@ def drop_repeats(docs: DataFrame, width: int = 35, with_text: bool = True) -> Da
         first, _, counts = distinct(hi, lo)
         yield from send_keys(hi[first], lo[first], counts > 1, buckets)
 
-    def finish(uri: str, chunk: Chunk, got: Answers) -> Iterator[pa.RecordBatch]:
+    def finish(number: int, chunk: Chunk, got: Answers) -> Iterator[pa.RecordBatch]:
         words = Words(chunk, width)
         at = _candidates(words, got[0], buckets)
         hi, lo = words.window_keys(at)

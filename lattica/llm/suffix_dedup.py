@@ -1,12 +1,13 @@
-"""Long byte matches with earlier documents.
-
-The run-length index was not taken for the decision: its samples at run ends give some occurrence of
-a match, not the one in the smallest document, and one index of a corpus can't be built or asked in parts (README).
-Here every string of 50 bytes belongs to the smallest hash among its 16-byte grams, its anchor,
-which is the same wherever the string stands. A first Spark round tells which anchors occur in more than one
-document; all strings without such an anchor are unique. A second round sends what is left, as the distinct
-segments of consecutive strings with one anchor, to the anchor's bucket, which compares all their
-strings and returns for each the smallest doc_id that has it.
+"""Long byte matches with earlier documents, by run-length indexes that Spark deals out.
+
+Every string of 50 bytes belongs to the smallest hash among its grams, its anchor, which is the same wherever the string
+stands. A first Spark round tells which anchors occur in more than one document; all strings
+without such an anchor are unique. A second round sends what is left, as the distinct segments of consecutive
+strings with one anchor, to the anchor's bucket, so that all occurrences of a string meet in one
+bucket. Segments alike are one there. Where an anchor has several different segments, the bucket builds a run-length
+index of them (run_index) and streams their matching statistics: where a match reaches 50 bytes, the
+index's sample gives the smallest document that has it. An anchor with very many segments is hot: its strings are dealt
+one by one, by their 128-bit hashes, so that no task gets an unbounded group.
 """
 
 from __future__ import annotations
@@ -20,10 +21,18 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm.chunks import Answers, Chunk, Prefix, ask, bucket_bounds, bucket_count, covered, distinct, each_chunk, received_bits, send_keys, solve_shared, write_chunks
+from lattica.llm.chunks import Answers, Chunk, Prefix, ask, bucket_bounds, bucket_count, covered, distinct, each_chunk, write_chunks
+from lattica.llm.run_index import RunIndex, ranges
 from lattica.llm.shared import table
 
-GRAM = 16
+GRAM = 24
+#: Strings that a segment has at most; longer ones (bytes that repeat with a short period) are cut.
+SEGMENT = 4096
+#: Segments from which on an anchor is hot.
+HOT = 4096
+#: Text behind a bucket, about.
+BUCKET = 16 << 20
+LAST = np.iinfo(np.int64).max
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,83 +61,176 @@ class Segments:
         new = np.ones(len(at), bool)
         new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
-        self.begin = at[first]
-        self.strings = np.diff(np.append(first, len(at)))
+        size = np.diff(np.append(first, len(at)))
+        if len(size) and size.max() > SEGMENT:
+            first = np.flatnonzero(new | ((np.arange(len(at)) - np.repeat(first, size)) % SEGMENT == 0))
+            size = np.diff(np.append(first, len(at)))
+        self.begin, self.strings = at[first], size
         self.key, self.doc, self.width = key[first], doc[first], width
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct anchors ascending, place of each segment's anchor among them, whether several documents of the chunk have it)."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct anchors ascending, place of each segment's anchor among them, its segments, whether several documents of the chunk have it)."""
         first, place, counts = distinct(self.key)
         least, most = np.full(len(first), len(self.doc) + 1, np.int64), np.full(len(first), -1, np.int64)
         np.minimum.at(least, place, self.doc)
         np.maximum.at(most, place, self.doc)
-        return self.key[first], place, most > least
+        return self.key[first], place, counts, most > least
 
     def pick(self, rows: np.ndarray) -> None:
         self.begin, self.strings, self.key, self.doc = (x[rows] for x in (self.begin, self.strings, self.key, self.doc))
 
 
-def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Slices of data one after another."""
-    ends = np.cumsum(size)
-    return data[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+def send_anchors(keys: np.ndarray, counts: np.ndarray, several: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    own, bounds = bucket_bounds(keys, buckets)
+    weight = np.minimum(counts, 255).astype(np.uint8)
+    for k, b in enumerate(own):
+        r = slice(bounds[k], bounds[k + 1])
+        yield int(b), struct.pack("<I", bounds[k + 1] - bounds[k]) + keys[r].tobytes() + weight[r].tobytes() + np.packbits(several[r]).tobytes()
+
+
+def solve_anchors(blobs: list[bytes]) -> list[bytes]:
+    """Two bits for each anchor: whether several documents have it, and whether it is hot."""
+    sizes = [struct.unpack_from("<I", x)[0] for x in blobs]
+    keys = np.concatenate([np.frombuffer(x, "<u8", n, 4) for x, n in zip(blobs, sizes, strict=True)])
+    weight = np.concatenate([np.frombuffer(x, np.uint8, n, 4 + 8 * n) for x, n in zip(blobs, sizes, strict=True)])
+    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, -1, 4 + 9 * n), count=n) for x, n in zip(blobs, sizes, strict=True)])
+    _, place, counts = distinct(keys)
+    shared = (counts > 1) | (np.bincount(place, several, minlength=len(counts)) > 0)
+    hot = shared & (np.bincount(place, weight, minlength=len(counts)) >= HOT)
+    cuts = np.cumsum(sizes)[:-1]
+    return [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(shared[place], cuts), np.split(hot[place], cuts), strict=True)]
+
+
+def received_anchors(keys: np.ndarray, answers: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    own, bounds = bucket_bounds(keys, buckets)
+    for k, b in enumerate(own):
+        n = bounds[k + 1] - bounds[k]
+        both = np.frombuffer(answers[int(b)], np.uint8)
+        shared[bounds[k] : bounds[k + 1]] = np.unpackbits(both[: len(both) // 2], count=n)
+        hot[bounds[k] : bounds[k + 1]] = np.unpackbits(both[len(both) // 2 :], count=n)
+    return shared, hot
+
+
+class Shared:
+    """What of a chunk has shared anchors: its distinct segments, and the strings of hot anchors one by one."""
+
+    def __init__(self, chunk: Chunk, width: int, answers: dict[int, bytes], buckets: int):
+        s = self.segments = Segments(chunk, width)
+        keys, place, *_ = s.keys()
+        shared, hot = (x[place] for x in received_anchors(keys, answers, buckets))
+        second = Prefix.of_bytes(chunk.data, 1)
+        strings = s.strings[hot]
+        self.at, self.at_doc = ranges(s.begin[hot], strings), np.repeat(s.doc[hot], strings)
+        self.hi, self.lo = (p.spans(self.at, self.at + width) for p in (s.prefix, second))
+        self.hot_first, self.hot_place, _ = distinct(self.hi, self.lo)
+        s.pick(np.flatnonzero(shared & ~hot))
+        end = s.begin + s.strings + width - 1
+        hi, lo = s.prefix.spans(s.begin, end), second.spans(s.begin, end)
+        order = np.lexsort((lo, hi, s.key))
+        new = np.ones(len(order), bool)
+        for x in (s.key, hi, lo):
+            y = x[order]
+            new[1:] &= y[1:] == y[:-1]
+        new[1:] = ~new[1:]
+        self.place = np.empty(len(order), np.int64)  # of each segment among the distinct ones, which are in order of their anchors
+        self.place[order] = np.cumsum(new) - 1
+        self.rows = order[new]
+        ids = np.full(len(self.rows), LAST)
+        np.minimum.at(ids, self.place, chunk.ids[s.doc])
+        hot_ids = np.full(len(self.hot_first), LAST)
+        np.minimum.at(hot_ids, self.hot_place, chunk.ids[self.at_doc])
+        self.ids, self.hot_ids = ids, hot_ids
+
+    def send(self, data: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """Segments to buckets by anchor; strings of hot anchors to as many buckets beyond these."""
+        s, codec = self.segments, zstandard.ZstdCompressor(level=1)
+        begin, key = s.begin[self.rows], s.key[self.rows]
+        sizes = s.strings[self.rows] + s.width - 1
+        own, bounds = bucket_bounds(key, buckets)
+        for k, b in enumerate(own):
+            r = slice(bounds[k], bounds[k + 1])
+            text = data[ranges(begin[r], sizes[r])]
+            yield int(b), codec.compress(struct.pack("<BI", 0, len(begin[r])) + sizes[r].astype("<u4").tobytes() + self.ids[r].astype("<i8").tobytes() + key[r].astype("<u4").tobytes() + text.tobytes())
+        hi, lo = self.hi[self.hot_first], self.lo[self.hot_first]
+        own, bounds = bucket_bounds(hi, buckets)
+        for k, b in enumerate(own):
+            r = slice(bounds[k], bounds[k + 1])
+            yield buckets + int(b), codec.compress(struct.pack("<BI", 1, len(hi[r])) + hi[r].tobytes() + lo[r].tobytes() + self.hot_ids[r].astype("<i8").tobytes())
+
+    def receive(self, answers: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, document within the chunk, smallest doc_id) of each string."""
+        s, codec = self.segments, zstandard.ZstdDecompressor()
 
+        def joined(own: np.ndarray, base: int) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(codec.decompress(answers[base + int(b)]), "<i8") for b in own)])
 
-def _shared_segments(chunk: Chunk, width: int, answers: dict[int, bytes], buckets: int) -> tuple[Segments, np.ndarray, np.ndarray]:
-    """(the segments with shared anchors, an index of each distinct one ordered by anchor, place of each among these)."""
-    s = Segments(chunk, width)
-    keys, place, _ = s.keys()
-    s.pick(np.flatnonzero(received_bits(keys, answers, buckets)[place]))
-    end = s.begin + s.strings + width - 1
-    hi, lo = s.prefix.spans(s.begin, end), Prefix.of_bytes(chunk.data, 1).spans(s.begin, end)
-    order = np.lexsort((lo, hi, s.key))
-    new = np.ones(len(order), bool)
-    for x in (s.key, hi, lo):
-        y = x[order]
-        new[1:] &= y[1:] == y[:-1]
-    new[1:] = ~new[1:]
-    own = np.empty(len(order), np.int64)
-    own[order] = np.cumsum(new) - 1
-    return s, order[new], own
+        least = joined(bucket_bounds(s.key[self.rows], buckets)[0], 0)
+        counts = s.strings[self.rows]
+        base = (np.cumsum(counts) - counts)[self.place] if len(self.rows) else np.zeros(0, np.int64)
+        hot = joined(bucket_bounds(self.hi[self.hot_first], buckets)[0], buckets)[self.hot_place]
+        at = np.concatenate([ranges(s.begin, s.strings), self.at])
+        return at, np.concatenate([np.repeat(s.doc, s.strings), self.at_doc]), np.concatenate([least[ranges(base, s.strings)], hot])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = struct.unpack_from("<I", raw)[0]
-    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), np.frombuffer(raw, "<i8", n, 4 + 4 * n), np.frombuffer(raw, np.uint8, -1, 4 + 12 * n)
+def _span_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of segments that stand one after another, some of them at a time."""
+    out: tuple[list, list] = ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(text), block)), len(begin)))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        at = begin[a]
+        part = text[at : end[b - 1]]
+        for which in (0, 1):
+            out[which].append(Prefix.of_bytes(part, which).spans(begin[a:b] - at, end[a:b] - at))
+    return np.concatenate(out[0]), np.concatenate(out[1])
 
 
 def solve_least(width: int, blobs: list[bytes]) -> list[bytes]:
-    """The smallest doc_id of each string of each segment."""
-    parts = [_unpack(b) for b in blobs]
-    sizes, ids, text = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    strings = sizes - width + 1
-    begin = np.cumsum(sizes) - sizes
-    at = np.repeat(begin - (np.cumsum(strings) - strings), strings) + np.arange(strings.sum())
-    hi, lo = _grams_at(text, width, at)
+    """A bucket's answers: the smallest doc_id of each string of each segment, or of each string of hot anchors."""
+    codec = zstandard.ZstdDecompressor()
+    raw = [codec.decompress(x) for x in blobs]
+    return _solve_hot(raw) if raw[0][0] else _solve_segments(width, raw)
+
+
+def _split(answer: np.ndarray, sizes: list[int]) -> list[bytes]:
+    codec = zstandard.ZstdCompressor(level=1)
+    return [codec.compress(x.astype("<i8").tobytes()) for x in np.split(answer, np.cumsum(sizes)[:-1])]
+
+
+def _solve_hot(raw: list[bytes]) -> list[bytes]:
+    sizes = [struct.unpack_from("<I", x, 1)[0] for x in raw]
+    hi, lo, ids = (np.concatenate([np.frombuffer(x, t, n, 5 + 8 * k * n) for x, n in zip(raw, sizes, strict=True)]) for k, t in enumerate(("<u8", "<u8", "<i8")))
     _, place, counts = distinct(hi, lo)
-    least = np.full(len(counts), np.iinfo(np.int64).max)
-    np.minimum.at(least, place, np.repeat(ids, strings))
-    answer = least[place]
-    codec, out, at_string, at_row = zstandard.ZstdCompressor(level=1), [], 0, 0
-    for p in parts:
-        n = int(strings[at_row : at_row + len(p[0])].sum())
-        out.append(codec.compress(answer[at_string : at_string + n].astype("<i8").tobytes()))
-        at_string, at_row = at_string + n, at_row + len(p[0])
-    return out
-
-
-def _grams_at(text: np.ndarray, width: int, at: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of the strings at ascending places, a block of text at a time."""
-    out: tuple[list, list] = ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
-    bounds = np.searchsorted(at, np.arange(0, len(text) + block, block))
-    for k in range(len(bounds) - 1):
-        own = at[bounds[k] : bounds[k + 1]] - k * block
-        part = text[k * block : (k + 1) * block + width]
-        if len(own):
-            for which in (0, 1):
-                out[which].append(Prefix.of_bytes(part, which).grams(width)[own])
-    return np.concatenate(out[0]), np.concatenate(out[1])
+    least = np.full(len(counts), LAST)
+    np.minimum.at(least, place, ids)
+    return _split(least[place], sizes)
+
+
+def _solve_segments(width: int, raw: list[bytes]) -> list[bytes]:
+    ns = [struct.unpack_from("<I", x, 1)[0] for x in raw]
+    sizes, ids, group, text = (
+        np.concatenate([np.frombuffer(x, t, -1 if t == np.uint8 else n, 5 + at * n) for x, n in zip(raw, ns, strict=True)]) for t, at in (("<u4", 0), ("<i8", 4), ("<u4", 12), (np.uint8, 16))
+    )
+    sizes = sizes.astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    first, place, _ = distinct(*_span_hashes(text, begin, begin + sizes))
+    least = np.full(len(first), LAST)
+    np.minimum.at(least, place, ids)
+    strings = sizes[first] - width + 1
+    offset = np.cumsum(strings) - strings
+    answer = np.repeat(least, strings)
+    # where all segments of an anchor are alike, the smallest document that has it is already known
+    _, of, alike = np.unique(group[first], return_inverse=True, return_counts=True)
+    several = np.flatnonzero(alike[of] > 1)
+    if len(several):
+        own = sizes[first][several]
+        part = text[ranges(begin[first][several], own)]
+        found = RunIndex(part, own, least[several], width).stream(part, own)
+        answer[ranges(offset[several], strings[several])] = found[ranges(np.cumsum(own) - own, strings[several])]
+    out = answer[ranges(offset[place], strings[place])]
+    per_row = np.append(0, np.cumsum(strings[place]))
+    ends = np.cumsum(ns)
+    return _split(out, [int(per_row[e] - per_row[e - n]) for e, n in zip(ends, ns, strict=True)])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string"
@@ -143,35 +245,18 @@ def drop_matches(docs: DataFrame, width: int = 50, with_text: bool = True) -> Da
     without one, don't count for one another.
     """
     manifest = write_chunks(docs)
-    buckets = bucket_count(manifest)
+    buckets = bucket_count(manifest, BUCKET)
 
     def anchors(chunk: Chunk, got: Answers) -> Iterator[tuple[int, bytes]]:
-        keys, _, several = Segments(chunk, width).keys()
-        yield from send_keys(keys, None, several, buckets)
+        keys, _, counts, several = Segments(chunk, width).keys()
+        yield from send_anchors(keys, counts, several, buckets)
 
     def segments(chunk: Chunk, got: Answers) -> Iterator[tuple[int, bytes]]:
-        s, rows, own = _shared_segments(chunk, width, got[0], buckets)
-        ids = np.full(len(rows), np.iinfo(np.int64).max)
-        np.minimum.at(ids, own, chunk.ids[s.doc])
-        sizes = s.strings[rows] + width - 1
-        codec = zstandard.ZstdCompressor(level=1)
-        own_buckets, bounds = bucket_bounds(s.key[rows], buckets)
-        for k, b in enumerate(own_buckets):
-            r = slice(bounds[k], bounds[k + 1])
-            text = gather(chunk.data, s.begin[rows[r]], sizes[r])
-            yield int(b), codec.compress(struct.pack("<I", len(rows[r])) + sizes[r].astype("<u4").tobytes() + ids[r].astype("<i8").tobytes() + text.tobytes())
-
-    def finish(uri: str, chunk: Chunk, got: Answers) -> Iterator[pa.RecordBatch]:
-        s, rows, own = _shared_segments(chunk, width, got[0], buckets)
-        own_buckets, _ = bucket_bounds(s.key[rows], buckets)
-        codec = zstandard.ZstdDecompressor()
-        least = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(codec.decompress(got[1][int(b)]), "<i8") for b in own_buckets)])
-        counts = s.strings[rows]
-        base = (np.cumsum(counts) - counts)[own] if len(rows) else np.zeros(0, np.int64)
-        shift = np.cumsum(s.strings) - s.strings
-        step = np.arange(s.strings.sum()) - np.repeat(shift, s.strings)
-        earlier = least[np.repeat(base, s.strings) + step] < np.repeat(chunk.ids[s.doc], s.strings)
-        gone = covered((np.repeat(s.begin, s.strings) + step)[earlier], width, len(chunk.data))
+        yield from Shared(chunk, width, got[0], buckets).send(chunk.data, buckets)
+
+    def finish(number: int, chunk: Chunk, got: Answers) -> Iterator[pa.RecordBatch]:
+        at, doc, least = Shared(chunk, width, got[0], buckets).receive(got[1], buckets)
+        gone = covered(at[least < chunk.ids[doc]], width, len(chunk.data))
         edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
         starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         lo, hi = np.searchsorted(starts, chunk.start), np.searchsorted(starts, chunk.end)
@@ -190,7 +275,7 @@ def drop_matches(docs: DataFrame, width: int = 50, with_text: bool = True) -> Da
         text = pa.array(kept if with_text else [None] * len(kept), pa.binary())
         yield pa.RecordBatch.from_arrays([*arrays, text, pa.array([hashlib.sha256(x).hexdigest() for x in kept])], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
 
-    shared = ask(manifest, [], anchors, solve_shared, "anchors")
+    shared = ask(manifest, [], anchors, solve_anchors, "anchors")
     least = ask(manifest, [shared], segments, lambda blobs: solve_least(width, blobs), "segments")
     return each_chunk(manifest, [shared, least], finish, RESULT)
 
