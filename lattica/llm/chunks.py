@@ -1,6 +1,6 @@
 """Documents in chunk files, and rounds that ask what keys of a chunk are shared with the rest of the corpus.
 
-A chunk is a few MB of whole documents, written once to the shared folder and read again in
+A chunk is about 2 MB of whole documents, written once to the shared folder and read again in
 every round, so texts are not shuffled. A round: each chunk sends its distinct keys to
 buckets by hash, already reduced, so that a key that a third of all rows have costs one entry per chunk; each
 bucket answers each chunk; the answers are a table in the shared folder. Buckets are as many as the corpus
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.shared import materialize, partitions, read_file, scratch, small_batches, write_file
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Text behind a bucket's keys, about.
 BUCKET_BYTES = 48 << 20
 NO_ID = np.iinfo(np.int64).max

@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm.chunks import Answers, Chunk, Prefix, ask, bucket_bounds, bucket_count, covered, distinct, each_chunk, write_chunks
+from lattica.llm.chunks import Answers, Chunk, Prefix, ask, bucket_bounds, bucket_count, covered, distinct, each_chunk, mix, write_chunks
 from lattica.llm.run_index import RunIndex, ranges
 from lattica.llm.shared import table
 
@@ -31,7 +31,7 @@ SEGMENT = 4096
 #: Segments from which on an anchor is hot.
 HOT = 4096
 #: Text behind a bucket, about.
-BUCKET = 16 << 20
+BUCKET = 8 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -66,7 +66,8 @@ class Segments:
             first = np.flatnonzero(new | ((np.arange(len(at)) - np.repeat(first, size)) % SEGMENT == 0))
             size = np.diff(np.append(first, len(at)))
         self.begin, self.strings = at[first], size
-        self.key, self.doc, self.width = key[first], doc[first], width
+        # minima of hashes are small; mixed again, they deal evenly to buckets
+        self.key, self.doc, self.width = mix(key[first]), doc[first], width
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(distinct anchors ascending, place of each segment's anchor among them, its segments, whether several documents of the chunk have it)."""
