@@ -24,14 +24,17 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.llm.run_index import ranges
 from lattica.llm.shared import materialize, one_thread, partitions, read_file, scratch, small_batches, table, write_file
 
 MAGIC = b"LATSST01"
@@ -40,8 +43,10 @@ ENTRY = struct.Struct("<QIII")
 BLOCK_BYTES = 1 << 18
 SHARD_BYTES = 48 << 20
 PROBES = 7
-#: Words whose ids a worker remembers at most; then it keeps the short ones, which come most often, and goes on.
-REMEMBERED = 300_000
+#: Bytes of text that are encoded at a time, about.
+PORTION = 4 << 20
+#: Pieces met first, which the most common ones are among, whose ids a worker remembers at most, and the longest it remembers.
+REMEMBERED, LONG_PIECE = 1_000_000, 64
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -181,12 +186,13 @@ class ShardReader:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, with the ids of words remembered.
+    """Ids of texts by the tokenizers library, with the ids of pieces remembered.
 
-    A byte-level pre-tokenizer always splits before a single space that a
-    non-space follows, so such pieces can be encoded one by one and the ids joined; the result is
-    that of the whole text. Other tokenizers, and texts that spell an
-    added token, are encoded whole.
+    A byte-level tokenizer with its own splitting pattern encodes each piece that the pattern finds by
+    itself, so ids of pieces can be joined. For texts of plain characters, on whose classes all
+    Unicode versions agree, that pattern is applied here. Other texts are split before
+    single spaces that a non-space follows, where the pattern always splits. Other tokenizers, and texts that
+    spell an added token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -201,34 +207,47 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def split(self, text: str) -> list[str]:
+        """Pieces whose ids are those of the text when joined."""
+        if any(a in text for a in self.added):
+            return [text]
+        if _PLAIN.fullmatch(text):
+            return _PIECE.findall(text)
+        if _LOOSE.search(text):
+            return _BEFORE.split(text)
+        first, *rest = text.split(" ")  # the quick way to the same pieces
+        return [first, *map(" ".__add__, rest)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as bytes. Distinct pieces of all texts are found by Arrow and looked up once."""
         if not self.pieces:
-            return self._encode(texts)
-        split: list[list[str] | None] = []
-        for t in texts:
-            if any(a in t for a in self.added):
-                split.append(None)
-            elif _LOOSE.search(t):
-                split.append(_BEFORE.split(t))
-            else:  # the quick way to the same pieces
-                first, *rest = t.split(" ")
-                split.append([first, *map(" ".__add__, rest)])
-        known = self.known
-        pieces = {p for s in split if s is not None for p in s}
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > REMEMBERED:
-            short = {p: v for p, v in known.items() if len(p) <= 8}
-            self.known = known = short if len(short) <= REMEMBERED // 2 else {}
-            new = [p for p in pieces if p not in known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, self._encode(part), strict=True))
-        return [self._encode([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
-
-
+            return self.whole(texts)
+        pieces = list(map(self.split, texts))
+        coded = pa.array(list(chain.from_iterable(pieces)), pa.large_string()).dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, own))
+        new = [i for i, v in enumerate(found) if v is None]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for i, v in zip(part, self.whole([own[i] for i in part]), strict=True):
+                found[i] = v
+                if len(self.known) < REMEMBERED and len(own[i]) <= LONG_PIECE:
+                    self.known[own[i]] = v
+        codes = coded.indices.to_numpy()
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        start = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(found), f"<u{self.width}")[ranges(start[codes], size[codes])]
+        ends = np.append(0, np.cumsum(size[codes]))[np.cumsum([0, *map(len, pieces)])]
+        return [ids[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+_LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PLAIN = re.compile(f"[\t\n\r\\x20-\\x7e\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7{_LETTER[6:]}\u2013\u2014\u2018-\u201e\u2020-\u2022\u2026\u2039\u203a\u20ac]*")
+#: The published splitting pattern of byte-level BPE, with its letter and number classes narrowed to plain characters.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
 #: A space before white space or the end; where it is not found, splitting at every space is right.
 _LOOSE = re.compile(r" (?:\s|$)")
 _BEFORE = re.compile(r"(?= \S)")
@@ -243,6 +262,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _portions(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of a batch, some MB at a time."""
+    sizes = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
+    cuts = np.unique(np.append(np.searchsorted(sizes, np.arange(0, sizes[-1] if len(sizes) else 0, PORTION)), b.num_rows))
+    cuts = cuts if cuts[0] == 0 else np.append(0, cuts)
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield b.column(0).slice(i, j - i).to_pylist(), b.column(1).slice(i, j - i).to_pylist()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -262,7 +290,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
     in the manifest count.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark, 1000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("salt", F.xxhash64("text")).repartitionByRange(partitions(spark) * 2, "doc_id", "salt").sortWithinPartitions("doc_id", "salt").drop("salt")
 
@@ -280,8 +308,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "uri": [uri], "docs": pa.array([len(shard.keys)], pa.int64()), "tokens": pa.array([shard.tokens], pa.int64())})
 
         for b in batches:
-            for i in range(0, b.num_rows, 50):
-                ids, texts = b.column(0).slice(i, 50).to_pylist(), b.column(1).slice(i, 50).to_pylist()
+            for ids, texts in _portions(b):
                 for d, v in zip(ids, enc.encode(texts), strict=True):
                     shard.add(key_of(d), v + end)
                     if shard.size() >= shard_bytes:
