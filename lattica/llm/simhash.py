@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.shared import fits, fresh, materialize, small_batches, table
+from lattica.llm.shared import fits, fresh, materialize, partitions, small_batches, table
 
 _BLOCK = 1 << 15
 
@@ -72,7 +72,8 @@ def simhash_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     if radius == 0:
         return fps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     flips = F.array(F.lit(0), *(F.lit(_signed(1 << i)) for i in range(64)))
-    ball = fps.select("fp", "rep", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), F.struct("rep", "fp").alias("x"))
+    # fingerprints are small and their balls 65 times as large: dealt out first
+    ball = fps.repartition(2 * partitions(fps.sparkSession)).select("fp", "rep", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), F.struct("rep", "fp").alias("x"))
     met = ball.groupBy("variant").agg(F.collect_list("x").alias("met")).where(F.size("met") > 1)
     pairs = met.select(F.array_min("met").alias("low"), F.explode("met").alias("x"))
     return (
