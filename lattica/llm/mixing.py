@@ -1,19 +1,32 @@
-"""Mixing sources to target weights: whole copies of documents, plus a hash-seeded Bernoulli copy for the fraction."""
+"""Mixing sources to target weights: whole copies of documents, plus a hash-seeded Bernoulli copy for the fraction.
+
+Only ids, sizes and hashes are shuffled, never texts: a document finds its copies from two small tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import WORD, fresh, materialize, table
+from lattica.llm.shared import WORD, fits, fresh, materialize, table
 
-#: Rows that one window of the systematic draw sorts at most, about.
-GROUP = 4096
+#: Documents that share a bound, about.
+GROUP = 1024
 
 
 def _hash(c: Column) -> Column:
-    """32 bits of MD5, the same in every engine."""
-    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
+    """60 bits of MD5, the same in every engine."""
+    return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
+
+
+def _bin(size: Column) -> Column:
+    """Bit length of the size and its next four bits: sizes of a bin differ by less than 7 %."""
+    n = F.length(F.bin(size))
+    return n * 16 + F.call_function("shiftright", size, F.greatest(n - 5, F.lit(0))).bitwiseAND(F.lit(15)).cast("int")
+
+
+def _draw(doc_id: Column, seed: str) -> Column:
+    return _hash(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
 def n_words(text: Column) -> Column:
@@ -44,38 +57,54 @@ def source_targets(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     return w.select("source", "source_size", F.when(full, F.col("most")).otherwise(F.col("final") * F.col("w")).alias("target"))
 
 
-def mix_plan(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, rows, source_size, target, copies) from (doc_id, source, size).
+def mix_plan(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """Two small tables by which each document draws its copies alone, from (doc_id, source, size).
 
-    rate = target / source_size; each document is taken floor(rate) times, plus once
-    more with the fraction as probability. These draws hang together: a source's documents,
-    largest first, take the steps of one systematic sample whose start is a hash of the
-    source, so each document has the right probability and the source's sum stays
-    within about one document of its target. Ranks come from bounded groups (source, bit
-    length of the size, hash bucket) plus counts of the groups before, so no task sorts
-    a whole source. Rows with equal doc_id, source and size share a draw; rows is their number.
+    rate = target / source_size; each document is taken floor(rate) times, plus once more
+    with the fraction p as probability. The draws are hashes of the doc_id; they hang together so that
+    sums come near the targets: a source's documents are dealt by size (bins of 7 %) and
+    hash into groups of about GROUP, and of n documents in a group those with the m smallest hashes
+    are taken once more, where m is n p, rounded up or down by a systematic sample over
+    the source's groups. Returns bins (source, bin, buckets, source_size, target, rate, whole)
+    and bounds (source, bin, bucket, bound); a document is taken once more if its
+    hash is at most its group's bound. Rows that repeat a doc_id, source and size share a draw.
     """
-    keys = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
-    keys = keys.withColumn("bin", F.length(F.bin("size"))).withColumn("h", _hash(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    keys = materialize(keys, "mix-keys")
-    targets = materialize(source_targets(sized, weights, share, cap), "mix-targets")
+    keys = materialize(sized.select("source", _bin(F.col("size")).alias("bin"), _draw(F.col("doc_id"), seed).alias("h")), "mix-keys")
+    targets = materialize(source_targets(sized, weights, share, cap), "mix-targets").withColumnRenamed("source", "s")
     bins = keys.groupBy("source", "bin").agg(F.ceil(F.count("*") / GROUP).alias("buckets"))
-    t = targets.withColumnsRenamed({"source": "s"})
-    bins = materialize(bins.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-bins")
-    b = bins.withColumnsRenamed({"source": "s", "bin": "b"})
-    k = keys.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))).drop("s", "b").withColumn("bucket", F.col("h") % F.col("buckets"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    bins = bins.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate).withColumn("whole", F.floor("rate"))
+    bins = materialize(bins, "mix-bins")
+    b = fits(bins.select(F.col("source").alias("s"), F.col("bin").alias("b"), "buckets"))
+    k = keys.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))).select("source", "bin", (F.col("h") % F.col("buckets")).alias("bucket"), "h")
+    k = materialize(k, "mix-buckets")
     groups = k.groupBy("source", "bin", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy(F.desc("bin"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.col("bucket").alias("k"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    groups = materialize(groups, "mix-groups")
-    k = k.withColumn("own", F.row_number().over(Window.partitionBy("source", "bin", "bucket").orderBy(F.desc("size"), "h", "doc_id")))
-    k = k.join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")) & (F.col("bucket") == F.col("k")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    k = k.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
-    start = _hash(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))) / F.lit(4294967296.0)
-    k = k.withColumn("start", start).withColumn("rank", F.col("before") + F.col("own"))
-    extra = F.floor(F.col("start") + F.col("rank") * F.col("p")) - F.floor(F.col("start") + (F.col("rank") - 1) * F.col("p"))
-    return k.select("doc_id", "source", "size", "rows", "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies"))
+    groups = groups.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    b = bins.select(F.col("source").alias("s"), F.col("bin").alias("b"), (F.col("rate") - F.col("whole")).alias("p"))
+    groups = groups.join(fits(b), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    start = _hash(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))) / F.lit(float(1 << 60))
+    taken = F.floor(start + (F.col("before") + F.col("n")) * F.col("p")) - F.floor(start + F.col("before") * F.col("p"))
+    m = materialize(groups.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.col("bucket").alias("k"), taken.alias("m")), "mix-groups")
+    place = F.row_number().over(Window.partitionBy("source", "bin", "bucket").orderBy("h"))
+    own = k.withColumn("place", place).join(fits(m), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")) & (F.col("bucket") == F.col("k")))
+    bounds = own.where("place = m").select("source", "bin", "bucket", F.col("h").alias("bound"))
+    return bins, materialize(bounds, "mix-bounds")
+
+
+def with_copies(docs: DataFrame, source: Column, size: Column, draw: Column, plan: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the number of copies of each row, and with columns of its bin; (frame, {column: its name there})."""
+    bins, bounds = plan
+    want = ["copies", "source_size", "target"]
+    names = [*want, "m_source", "m_bin", "m_h", "b_source", "b_bin", "buckets", "whole", "c_source", "c_bin", "c_bucket", "bound"]
+    own = dict(zip(names, fresh(docs, *names), strict=True))
+    c = {k: F.col(v) for k, v in own.items()}
+    d = docs.withColumns({own["m_source"]: source, own["m_bin"]: _bin(size), own["m_h"]: draw})
+    b = bins.select(F.col("source").alias(own["b_source"]), F.col("bin").alias(own["b_bin"]), *(F.col(x).alias(own[x]) for x in ("buckets", "whole", "source_size", "target")))
+    d = d.join(fits(b), c["m_source"].eqNullSafe(c["b_source"]) & (c["m_bin"] == c["b_bin"]))
+    x = bounds.select(F.col("source").alias(own["c_source"]), F.col("bin").alias(own["c_bin"]), F.col("bucket").alias(own["c_bucket"]), F.col("bound").alias(own["bound"]))
+    d = d.join(fits(x), c["m_source"].eqNullSafe(c["c_source"]) & (c["m_bin"] == c["c_bin"]) & (c["m_h"] % c["buckets"] == c["c_bucket"]), "left")
+    return d.withColumn(own["copies"], c["whole"] + F.coalesce((c["m_h"] <= c["bound"]).cast("long"), F.lit(0))), {x: own[x] for x in want}
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -88,18 +117,17 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     Null texts have size 0. Documents of size 0 are taken like others of their
     source; a source of total size 0 gives no rows. An empty table gives an empty one.
     """
-    plan = materialize(mix_plan(materialize(sizes(docs), "mix-sizes"), weights, share, cap, seed), "mix-plan")
-    m_id, m_source, m_size, m_copies, m_words, m_copy = fresh(docs, "m_id", "m_source", "m_size", "m_copies", "m_words", "m_copy")
-    c = plan.where("copies > 0").select(F.col("doc_id").alias(m_id), F.col("source").alias(m_source), F.col("size").alias(m_size), F.col("copies").cast("int").alias(m_copies))
-    d = docs.withColumn(m_words, n_words(F.col("text").cast("string")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col(m_id)) & F.col("source").cast("string").eqNullSafe(F.col(m_source)) & (F.col(m_words) == F.col(m_size))
-    return d.join(c, on).withColumn(m_copy, F.explode(F.sequence(F.lit(1), F.col(m_copies)))).select(*docs.columns)
+    plan = mix_plan(materialize(sizes(docs), "mix-sizes"), weights, share, cap, seed)
+    d, own = with_copies(docs, F.col("source").cast("string"), n_words(F.col("text").cast("string")), _draw(F.col("doc_id").cast("long"), seed), plan)
+    copies = F.col(own["copies"]).cast("int")
+    (copy,) = fresh(d, "copy")
+    return d.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mix_plan(materialize(sizes(table(spark, sf_dir, "documents")), "mix-sizes"))
-    each = plan.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    sized = materialize(sizes(table(spark, sf_dir, "documents")), "mix-sizes")
+    d, _ = with_copies(sized, F.col("source"), F.col("size"), _draw(F.col("doc_id"), "mix"), mix_plan(sized))
+    return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 QUERIES = {"op7_mixing": op7_mixing}
@@ -114,12 +142,16 @@ v AS (SELECT *, most / w AS full_at, 1.5::DOUBLE * sum(source_size) OVER () - co
 f AS (SELECT *, lft / left_w AS level, min(CASE WHEN lft / left_w < full_at THEN pos END) OVER () AS first_open FROM v),
 t AS (SELECT source, source_size, CASE WHEN first_open IS NULL OR pos < first_open THEN most
   ELSE max(CASE WHEN pos = first_open THEN level END) OVER () * w END AS target FROM f),
-k AS (SELECT d.*, t.source_size, t.target, length(bin(size)) AS bin, CAST('0x' || substr(md5('mix:' || doc_id), 1, 8) AS BIGINT) AS h
+k AS (SELECT d.*, t.source_size, t.target, length(bin(size)) * 16 + ((size >> greatest(length(bin(size)) - 5, 0)) & 15) AS bin, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h,
+  CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+  CAST('0x' || substr(md5('mix:' || coalesce(d.source, '')), 1, 15) AS BIGINT) / 1152921504606846976.0::DOUBLE AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 g AS (SELECT *, h % CAST(ceil(count(*) OVER (PARTITION BY source, bin) / {GROUP}.0) AS BIGINT) AS bucket FROM k),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bin DESC, bucket, size DESC, h, doc_id) AS rank,
-  CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  CAST('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS start FROM g)
-SELECT doc_id, size, source_size, target,
-  size * CAST(floor(rate) + floor(start + rank * (rate - floor(rate))) - floor(start + (rank - 1) * (rate - floor(rate))) AS BIGINT) AS taken FROM r"""
+n AS (SELECT source, bin, bucket, any_value(rate - floor(rate)) AS p, any_value(start) AS start, count(*) AS n,
+  coalesce(sum(count(*)) OVER (PARTITION BY source ORDER BY bin DESC, bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g GROUP BY source, bin, bucket),
+m AS (SELECT *, floor(start + (before + n) * p) - floor(start + before * p) AS m FROM n),
+r AS (SELECT g.*, m, row_number() OVER (PARTITION BY g.source, g.bin, g.bucket ORDER BY h) AS place
+  FROM g JOIN m ON g.source IS NOT DISTINCT FROM m.source AND g.bin = m.bin AND g.bucket = m.bucket),
+x AS (SELECT *, max(CASE WHEN place = m THEN h END) OVER (PARTITION BY source, bin, bucket) AS bound FROM r)
+SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN h <= bound THEN 1 ELSE 0 END AS BIGINT) AS taken FROM x"""
 }
