@@ -320,18 +320,19 @@ def _(spark, sf):
 # Reductions
 
 _RED = {"plus": "sum(v)", "times": "round(ln(product(v)), 6)", "min": "min(v)", "max": "greatest(0, max(v))", "or": "max((v <> 0)::INT)", "and": "min((v <> 0)::INT)"}
+_NONE = {"plus": "0", "times": "0.0", "min": "NULL", "max": "0", "or": "0", "and": "1"}
 _MON = {"plus": "plus", "times": "multiplies", "min": "minimum", "max": "maximum", "or": "logical_or", "and": "logical_and"}
 
 
 def _shown(df: DataFrame, kind: str) -> DataFrame:
-    """Products are shown as logarithms, all else as integers."""
-    return df.withColumn("v", F.round(F.log("v"), 6) if kind == "times" else F.col("v").cast("long"))
+    """Products are shown as logarithms, all else as integers; the minimum of nothing, which no integer is, as null."""
+    return df.withColumn("v", F.round(F.log("v"), 6) if kind == "times" else F.col("v").try_cast("long"))
 
 
 for _kind, _expr in _RED.items():
     _sql = _expr if _kind == "times" else f"CAST({_expr} AS BIGINT)"
     _each(f"reduce_row_{_kind}", "nat", f"SELECT i, {_sql} AS v FROM nat GROUP BY i", lambda spark, sf, k=_kind: _shown(st.reduce_rows(g.nat(spark, sf), MONOID[_MON[k]], dense=False).df, k))
-    _each(f"reduce_vec_{_kind}", "nat", f"SELECT {_sql} AS v FROM nat WHERE j = 0", lambda spark, sf, k=_kind: _shown(st.reduce_df(st.extract_column(g.nat(spark, sf), None, 0), MONOID[_MON[k]]), k))
+    _each(f"reduce_vec_{_kind}", "nat", f"SELECT coalesce({_sql}, {_NONE[_kind]}) AS v FROM nat WHERE j = 0", lambda spark, sf, k=_kind: _shown(st.reduce_df(st.extract_column(g.nat(spark, sf), None, 0), MONOID[_MON[k]]), k))
     if _kind != "times":
         _each(f"reduce_mat_{_kind}", "ps", f"SELECT {_sql} AS v FROM ps", lambda spark, sf, k=_kind: _shown(st.reduce_df(g.ps(spark, sf), MONOID[_MON[k]]), k))
 
