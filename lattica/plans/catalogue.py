@@ -15,6 +15,9 @@ from lattica.operators.objects import Descriptor, Matrix, Vector
 from lattica.plans import algorithms as alg
 from lattica.plans import graphs as g
 from lattica.plans import verify
+from lattica.sources.matrix_market import UNDIRECTED, load, read_mtx, save, write_mtx
+from lattica.store import cut, scratch
+from lattica.streaming.ingest import current, ingest_edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -552,3 +555,32 @@ def _(spark, sf):
 _COLORINGS = {"gc_jp_violations": alg.color_jones_plassmann, "gc_mis_violations": alg.color_mis, "gc_is_violations": alg.color_independent, "gc_jp_round_violations": lambda a: alg.color_jones_plassmann(a, per_round=True)}
 for _name, _fn in _COLORINGS.items():
     _each(_name, "", "SELECT 0::BIGINT AS conflicts, 0::BIGINT AS uncolored", lambda spark, sf, f=_fn: (lambda a: verify.coloring_violations(a, f(a)))(g.hi(spark, sf)))
+
+
+# Files and streams
+
+
+@query("matrix_market_round_trip", "nat", "SELECT i, j, v FROM nat")
+def _(spark, sf):
+    write_mtx(g.nat(spark, sf), path := scratch(spark, "mtx"), "integer")
+    return read_mtx(spark, path, keep_loops=True)
+
+
+@query("matrix_market_undirected", "nat", "SELECT i, j, min(v) AS v FROM (SELECT i, j, v FROM nat UNION ALL SELECT j, i, v FROM nat) WHERE i <> j GROUP BY i, j")
+def _(spark, sf):
+    write_mtx(g.nat(spark, sf), path := scratch(spark, "mtx"), "integer")
+    return read_mtx(spark, path, UNDIRECTED)
+
+
+@query("parquet_round_trip", "ps", "SELECT i, j, v FROM ps")
+def _(spark, sf):
+    save(g.ps(spark, sf), path := scratch(spark, "saved"))
+    return load(spark, path)
+
+
+@query("stream_of_edges", "", "SELECT l_partkey AS i, l_suppkey AS j, CAST(sum(l_linenumber) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2")
+def _(spark, sf):
+    arrived, _ = cut(_lines(spark, sf), "arrived")
+    stream = spark.readStream.schema(arrived.schema).parquet(arrived.inputFiles()[0].rsplit("/", 1)[0])
+    ingest_edges(stream, path := scratch(spark, "edges"), scratch(spark, "stream")).awaitTermination()
+    return current(spark, path)

@@ -11,16 +11,16 @@ from lattica.operators.objects import Matrix, Vector
 DIRECTED, UNDIRECTED, AS_STORED = 1, 2, 0
 
 
-def _header(spark: SparkSession, path: str) -> tuple[list[str], tuple[int, int, int]]:
-    """The banner's words and the size line; reads the file's first lines only."""
-    lines = spark.read.text(path)
-    banner = lines.first()
-    if banner is None or not banner[0].startswith("%%MatrixMarket"):
+def _header(spark: SparkSession, path: str) -> tuple[list[str], tuple[int, int, int], str]:
+    """The banner's words, the size line and the file that has them; path may be a folder of parts, in any order."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    banner = lines.where(F.col("value").startswith("%%MatrixMarket")).first()
+    if banner is None:
         raise InvalidValue(f"{path} has no Matrix Market banner")
-    size = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).first()
+    size = lines.where((F.col("file") == banner["file"]) & ~F.col("value").startswith("%") & (F.trim("value") != "")).first()
     if size is None:
         raise InvalidValue(f"{path} has no size line")
-    return banner[0].lower().split(), tuple(int(x) for x in size[0].split()[:3])
+    return banner[0].lower().split(), tuple(int(x) for x in size[0].split()[:3]), banner["file"]
 
 
 def read_mtx(spark: SparkSession, path: str, direction: int = AS_STORED, keep_loops: bool = False, weighted: bool = True) -> Matrix:
@@ -31,7 +31,7 @@ def read_mtx(spark: SparkSession, path: str, direction: int = AS_STORED, keep_lo
     stays, with its own value. Self-loops are dropped unless kept. Patterns, and all
     files unless weighted, have value 1. The file is split among tasks like any text.
     """
-    banner, (nrows, ncols, _) = _header(spark, path)
+    banner, (nrows, ncols, _), first = _header(spark, path)
     if banner[1:3] != ["matrix", "coordinate"]:
         raise InvalidValue("only coordinate matrices are read")
     kind, shape = banner[3], banner[4]
@@ -39,13 +39,13 @@ def read_mtx(spark: SparkSession, path: str, direction: int = AS_STORED, keep_lo
         raise DomainMismatch(f"values of kind {kind}")
     if shape not in ("general", "symmetric"):
         raise InvalidValue(f"symmetry {shape}")
-    x = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    x = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     x = x.withColumn("f", F.split(F.trim("value"), r"\s+"))
     entry = F.size("f") >= (2 if kind == "pattern" else 3)
     v = F.lit(1).cast("long") if kind == "pattern" or not weighted else F.get("f", F.lit(2)).cast("long" if kind == "integer" else "double")
-    # the size line is known by its place, not its looks: it is the first line that is no comment
+    # the size line is known by its place, not its looks: it is the first line of its file that is no comment
     x = x.withColumn("place", F.monotonically_increasing_id())
-    size_place = x.agg(F.min("place")).first()[0]
+    size_place = x.where(F.col("file") == first).agg(F.min("place")).first()[0]
     df = x.where(entry & (F.col("place") != size_place)).select((F.get("f", F.lit(0)).cast("long") - 1).alias("i"), (F.get("f", F.lit(1)).cast("long") - 1).alias("j"), v.alias("v"))
     if direction == UNDIRECTED or (direction == AS_STORED and shape == "symmetric"):
         df = df.unionByName(df.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))

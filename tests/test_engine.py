@@ -161,6 +161,10 @@ def test_matrix_market(spark, tmp_path):
     write_mtx(m, str(tmp_path / "out"), "integer")
     again = read_mtx(spark, str(tmp_path / "out"), keep_loops=True)
     assert again.extract_tuples() == m.extract_tuples()
+    # parts of a folder are not read in the order of their names
+    big = Matrix.build(spark, range(4000), range(4000), [i * i for i in range(4000)], 4000, 4000)
+    write_mtx(big, str(tmp_path / "big"), "integer")
+    assert read_mtx(spark, str(tmp_path / "big"), keep_loops=True).extract_tuples() == big.extract_tuples()
     save(m, str(tmp_path / "saved"))
     assert load(spark, str(tmp_path / "saved")).extract_tuples() == m.extract_tuples()
     (tmp_path / "c.mtx").write_text("%%MatrixMarket matrix coordinate complex general\n1 1 1\n1 1 0 0\n")
