@@ -56,13 +56,19 @@ class RunIndex:
         symbols = np.zeros(len(text) + len(sizes), np.int64)
         symbols[ranges(ends - sizes, sizes)] = self.code[text]
         rank, self.contexts = context_ranks(symbols, width, len(used) + 1)
-        # runs, by symbol and then context: in this order the rows before a run are where its backward step leads
-        runs = np.sort(np.roll(symbols, 1) * self.contexts + rank)
-        head = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.zeros(0, np.int64)
-        self.runs = runs[head]
-        self.rows_before = np.append(head, len(runs))
+        # runs, by context and then symbol
+        letters = len(used) + 1
+        rows = np.sort(rank * letters + np.roll(symbols, 1))
+        head = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
+        context, self.symbol = np.divmod(rows[head], letters)
+        self.first_run = np.searchsorted(context, np.arange(self.contexts))
+        # the rows before a run, counted by symbol and then context, are where its backward step leads
+        by_symbol = np.argsort(self.symbol.astype(np.uint16), kind="stable")
+        self.rows_before = np.append(0, np.cumsum(np.diff(np.append(head, len(rows)))[by_symbol]))
+        self.runs = (self.symbol * self.contexts + context)[by_symbol]
         self.start = np.append(0, np.cumsum(np.bincount(rank, minlength=self.contexts)))
-        self.leads_to = np.searchsorted(self.start, head, "right") - 1
+        self.leads_to = np.empty(len(head), np.int64)
+        self.leads_to[by_symbol] = np.searchsorted(self.start, self.rows_before[:-1], "right") - 1
         self.least = np.full(self.contexts, np.iinfo(np.int64).max)
         np.minimum.at(self.least, rank, np.repeat(docs, sizes + 1))
         self.ends = rank[ends]
@@ -79,7 +85,10 @@ class RunIndex:
         live = np.searchsorted(-sizes[order], -np.arange(int(sizes.max()) if len(sizes) else 0), "left")
         for j, n in enumerate(live.tolist()):  # the texts longer than j
             at = last[:n] - j
-            context = self.leads_to[np.searchsorted(self.runs, self.code[text[at]] * self.contexts + context[:n])]
+            symbol, run = self.code[text[at]], self.first_run[context[:n]]
+            while len(miss := np.flatnonzero(self.symbol[run] != symbol)):  # most contexts have one run
+                run[miss] += 1
+            context = self.leads_to[run]
             if j >= self.width - 1:
                 out[at] = self.least[context]
         return out
