@@ -28,6 +28,8 @@ REMEMBERED = 200_000
 STEM = range(4, 9)
 #: Words before and after a hit that its score looks at.
 WINDOW = 8
+#: What each edit leaves of a term's chance, where no labelled row has the term so misspelled; rows that have it give a chance of their own.
+EDIT = 0.9
 QUOTES = "\"“”„«»‹›‘’"
 REPORTING = frozenset("said says called calls quote quoted quotes word words term terms wrote writes called named insult insults slur slurs dit mot wort sagte dijo palabra".split())
 
@@ -166,7 +168,8 @@ class Scorer:
         term, edits, stem = hit
         if stem:
             return self.model.stems[term]
-        return self.model.words[term] if not edits else self.model.fuzzy.get((term, edits), 0.5)
+        known = self.model.fuzzy.get((term, edits)) if edits else None
+        return self.model.words[term] * EDIT**edits if known is None else known
 
     def score(self, text: str | None) -> float:
         """Chance that the text is toxic: none of its hits counts as abuse with the product of their doubts.
