@@ -13,21 +13,38 @@ _local: dict[str, str] = {}
 _count = itertools.count()
 
 
+_roots: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only in local mode, where it is unset."""
+    """spark.checkpoint.dir with its file system, Spark's default one if it names none; a temporary folder only in local mode, where it is unset."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if sc.master.split("[")[0] != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if sc.applicationId not in _local:
-        _local[sc.applicationId] = tempfile.mkdtemp(prefix="lattica-")
-    return _local[sc.applicationId]
+    if not found:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _local.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="lattica-")
+        _local[sc.applicationId] = found
+    path = sc._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def _root(spark: SparkSession) -> str:
+    """The application's own folder in the shared one, removed when the driver ends."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/lattica/{sc.applicationId}"
+    if _roots.get(sc.applicationId) != root:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _roots[sc.applicationId] = root
+    return root
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lattica/{spark.sparkContext.applicationId}/{name}-{next(_count)}-{uuid.uuid4().hex[:8]}"
+    """A new path in the shared folder."""
+    return f"{_root(spark)}/{name}-{next(_count)}-{uuid.uuid4().hex[:8]}"
 
 
 def cut(df: DataFrame, name: str, **measures) -> tuple[DataFrame, dict]:
