@@ -21,9 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import materialize, partitions, read_file, scratch, small_batches, write_file
+from lattica.llm.shared import lean, materialize, partitions, read_file, scratch, small_batches, write_file
 
 CHUNK_BYTES = 2 << 20
+#: Chunks that a task of a round works on at most, about.
+CHUNKS_A_TASK = 8
 #: Text behind a bucket's keys, about.
 BUCKET_BYTES = 48 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -86,7 +88,7 @@ def write_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    written = materialize(rows.mapInArrow(run, MANIFEST), "chunk-files")
+    written = materialize(rows.mapInArrow(lean(run), MANIFEST), "chunk-files")
     return materialize(written.withColumn("chunk", F.monotonically_increasing_id()), "chunk-manifest")
 
 
@@ -103,7 +105,7 @@ def each_chunk(manifest: DataFrame, rounds: list[DataFrame], work: Callable[[int
     Chunks and answers are dealt by chunk to a stated number of partitions: a manifest row is small,
     so adaptive execution would gather all chunks in a few tasks.
     """
-    tasks = partitions(manifest.sparkSession) * 2
+    tasks = max(partitions(manifest.sparkSession) * 2, manifest.count() // CHUNKS_A_TASK)
     rows = manifest.select("chunk", "uri").repartition(tasks, "chunk")
     for k, answers in enumerate(rounds):
         own = answers.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias(f"answers{k}"))
@@ -116,7 +118,7 @@ def each_chunk(manifest: DataFrame, rounds: list[DataFrame], work: Callable[[int
                 got = [{x["bucket"]: x["blob"] for x in b.column(2 + k)[i].as_py() or []} for k in range(n)]
                 yield from work(b.column(0)[i].as_py(), Chunk(read_file(b.column(1)[i].as_py())), got)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def ask(manifest: DataFrame, rounds: list[DataFrame], emit: Callable[[Chunk, Answers], Iterator[tuple[int, bytes]]], solve: Callable[[list[bytes]], list[bytes]], name: str) -> DataFrame:

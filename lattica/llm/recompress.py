@@ -1,15 +1,17 @@
 """Repeated passages of words by recompression.
 
-A document's words are symbols. A round pairs symbols: a hash of a symbol's name, new in each round, makes it a
-left or a right one, and a left one followed by a right one become one symbol, named by the two. What
-becomes of a symbol depends on it and its neighbours alone, so equal passages get equal
-symbols inside. At the edges of a passage, only a right symbol at its beginning and a left one at its end can
-be bound to what stands outside; dropping these in each round leaves the core that
-every occurrence of the passage has in common.
+A document's words are symbols. A round first makes each maximal run of one symbol a symbol, named by the
+symbol and the run's length, so that repetitive text shrinks at once. Then it pairs: a hash of a
+symbol's name, new in each round, makes it a left or a right one, and a left one followed by a right
+one become one symbol, named by the two. A run is on the side of the symbol it repeats. What becomes of a symbol
+depends on it and its neighbours alone, so equal passages get equal symbols inside. At an edge of a passage, the
+run there may be longer outside, and what is paired with that run goes with it; dropping these in each
+round leaves the core that every occurrence of the passage has in common.
 
 Names are hashes of what they stand for, so that they are global without asking anyone. A Spark round then
 tells which high-level symbols the corpus has more than once; a window of words all of whose long core
-symbols are shared may repeat, others can't. A second round verifies these by 128-bit hashes of their words.
+symbols are shared may repeat, others can't. A second round verifies these by 128-bit hashes of their words,
+two chains of 64 bits over both halves of a keyed hash of each word.
 """
 
 from __future__ import annotations
@@ -19,62 +21,82 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm.chunks import Answers, Chunk, Prefix, _u, ask, bucket_count, covered, distinct, each_chunk, mix, received_bits, send_keys, solve_shared, white, write_chunks
+from lattica.llm.chunks import Answers, Chunk, _u, ask, bucket_count, covered, distinct, each_chunk, mix, received_bits, send_keys, solve_shared, white, write_chunks
 from lattica.llm.shared import table
 
-ROUNDS = 5
+ROUNDS = 4
 #: Words that a symbol stands for at least to be asked about.
 LONG = 4
+SEED = 0x1A77_1CA0
+#: Odd numbers by which names and window hashes are multiplied.
+_RUN, _PAIR, _ROUND, _CHAINS = 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 class Words:
-    """The words of a chunk, their hashes, and the windows that lie in one document."""
+    """The words of a chunk, 128-bit hashes of them, and the windows that lie in one document."""
 
     def __init__(self, chunk: Chunk, width: int):
         space = white()[chunk.data]
-        before = np.append(True, space[:-1])
-        self.begin = np.flatnonzero(~space & before)
-        self.stop = np.flatnonzero(space & ~before)
-        # the line feed after each document ends its last word
-        self.hash = Prefix.of_bytes(chunk.data).spans(self.begin, self.stop)
-        self.first = np.searchsorted(self.begin, chunk.start)
-        self.last = np.searchsorted(self.begin, chunk.end)
-        counts = self.last - self.first
-        stops = np.repeat(self.last, counts)
-        self.windows = np.flatnonzero(np.arange(len(self.begin)) + width <= stops)
+        begin = np.flatnonzero(~space & np.append(True, space[:-1]))
+        self.first = np.searchsorted(begin, chunk.start)
+        self.last = np.searchsorted(begin, chunk.end)
+        # bytes.split() without arguments splits at the same six bytes; the line feed after each document ends its last word
+        coded = pa.array(chunk.raw.split(), pa.large_binary()).dictionary_encode()
+        hashes = b"".join(xxhash.xxh3_128_digest(w, SEED) for w in coded.dictionary.to_pylist())
+        self.hi, self.lo = np.frombuffer(hashes, "<u8").reshape(-1, 2)[coded.indices.to_numpy()].T if len(coded) else (np.zeros(0, _u), np.zeros(0, _u))
+        self.n = len(begin)
+        self.windows = np.flatnonzero(np.arange(self.n) + width <= np.repeat(self.last, self.last - self.first))
         self.width = width
 
     def window_keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = at, at + self.width
-        return Prefix(self.hash).spans(a, b), Prefix(mix(self.hash ^ _u(0xA5A5A5A5A5A5A5A5))).spans(a, b)
+        """Two hashes of the words of the windows at these places; a multiplication and a shift for each word, so no power of a base is in them."""
+        out = []
+        for half, odd in zip((self.hi, self.lo), _CHAINS, strict=True):
+            x = np.full(len(at), _u(odd))
+            for j in range(self.width):
+                x = (x ^ half[at + j]) * _u(odd)
+                x ^= x >> _u(29)
+            out.append(x)
+        return out[0], out[1]
 
 
 def recompress(words: Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(names, lengths in words, core begins, core ends): the symbols after so many rounds, and for each window the range of symbols in its core."""
-    name, size = words.hash, np.ones(len(words.hash), np.int32)
-    opens = np.zeros(len(name) + 1, bool)  # first of its document
+    name, size = words.hi, np.ones(words.n, np.int64)
+    opens = np.zeros(words.n + 1, bool)  # first of its document
     opens[words.first] = True
-    opens = opens[: len(name)]
+    opens = opens[: words.n]
     a, b = words.windows, words.windows + words.width
     for r in range(rounds):
         if not len(name):
             break
-        right = mix(name + _u((0xC2B2AE3D27D4EB4F * (r + 1)) & ((1 << 64) - 1))) >> _u(63) == 1
+        right = mix(name + _u((_ROUND * (r + 1)) & ((1 << 64) - 1))) >> _u(63) == 1
+        # runs become symbols; windows lose those at their edges
+        head = opens.copy()
+        head[0] = True
+        head[1:] |= name[1:] != name[:-1]
+        at, run = np.flatnonzero(head), np.cumsum(head) - 1
+        times = np.diff(np.append(at, len(name)))
+        full = a < b
+        a, b = np.where(full, run[np.minimum(a, len(name) - 1)] + 1, 0), np.where(full, run[b - 1], 0)
+        name = np.where(times > 1, mix(name[at] * _u(_RUN) + times.astype(_u)), name[at])
+        size, right, opens = np.add.reduceat(size, at), right[at], opens[at]
+        # pairs become symbols; windows lose those that hold a run just lost
         joined = np.zeros(len(name), bool)  # with the next one
         joined[:-1] = ~right[:-1] & right[1:] & ~opens[1:]
-        stays = np.append(True, ~joined[:-1])
         full = a < b
-        a = a + (full & right[np.minimum(a, len(name) - 1)])
+        a = a + (full & joined[np.maximum(a, 1) - 1])
         full = a < b
-        b = b - (full & ~right[b - 1])
+        b = b - (full & joined[b - 1])
         full = a < b
+        stays = np.append(True, ~joined[:-1])
         to = np.cumsum(stays)
         a, b = np.where(full, to[np.minimum(a, len(name) - 1)] - 1, 0), np.where(full, to[b - 1], 0)
         following = np.append(name[1:], _u(0))
-        pair = mix(name * _u(0x9FB21C651E98DF25) + mix(following + _u(r)))
-        name = np.where(joined, pair, name)[stays]
+        name = np.where(joined, mix(name * _u(_PAIR) + mix(following + _u(r))), name)[stays]
         size = np.where(joined, size + np.append(size[1:], 0), size)[stays]
         opens = opens[stays]
     return name, size, a, b
@@ -106,7 +128,9 @@ def drop_repeats(docs: DataFrame, width: int = 35, with_text: bool = True) -> Da
     Removes every word covered by a window of width words whose word sequence also starts
     elsewhere, in another document or the same; words are runs of other than ASCII white space. Windows are
     judged on the input. Null and empty texts have no words; so do texts of white space. Rows
-    that repeat a document repeat its windows. A document longer than a chunk has a chunk of its own.
+    that repeat a document repeat its windows, whatever their doc_id, which may be null. Columns other than
+    doc_id and text are ignored, whatever their names. A document longer than a chunk has a chunk of its own, and
+    is in one task's memory at a time, some 100 bytes for each of its bytes.
     """
     manifest = write_chunks(docs)
     buckets = bucket_count(manifest)
@@ -126,7 +150,7 @@ def drop_repeats(docs: DataFrame, width: int = 35, with_text: bool = True) -> Da
         at = _candidates(words, got[0], buckets)
         hi, lo = words.window_keys(at)
         first, place, _ = distinct(hi, lo)
-        gone = covered(at[received_bits(hi[first], got[1], buckets)[place]], width, len(words.begin))
+        gone = covered(at[received_bits(hi[first], got[1], buckets)[place]], width, words.n)
         total = np.append(0, np.cumsum(gone))
         removed = total[words.last] - total[words.first]
         kept = []
@@ -145,6 +169,7 @@ def drop_repeats(docs: DataFrame, width: int = 35, with_text: bool = True) -> Da
 
 
 def op9_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drop_repeats over documents, without the kept text: windows of 35 words."""
     return drop_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import materialize, small_batches, table
+from lattica.llm.shared import lean, materialize, small_batches, table
 
 KINDS = ("assign", "access", "hex", "random")
 # letters in either case are spelt out by ASCII matching, so that no other letter folds onto them
@@ -172,7 +172,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 more.append([dict(zip(("start", "stop", "enc", "len", "p"), y, strict=True)) for y in c])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, span), pa.array(more, cand)], ["doc_id", "base", "more"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCANNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), SCANNED)
 
 
 def find_secrets(docs: DataFrame, q: float = 0.1) -> DataFrame:

@@ -6,7 +6,8 @@ Everything that must outlive a task goes to the folder that the cluster shares
 
 from __future__ import annotations
 
-import itertools
+import ctypes
+import functools
 import os
 import posixpath
 import tempfile
@@ -15,32 +16,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_dirs: dict[str, str] = {}
-_count = itertools.count()
+from lattica.store import scratch
 
 #: ASCII white space as the contracts have it: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only in local mode, where it is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not sc.master.split("[")[0] == "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if sc.applicationId not in _local_dirs:
-        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="lattica-")
-    return _local_dirs[sc.applicationId]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/lattica/{spark.sparkContext.applicationId}/{name}-{next(_count)}-{uuid.uuid4().hex[:8]}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: runs once, and its lineage ends there."""
     spark = df.sparkSession
@@ -68,25 +50,88 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Rows of a table that is broadcast at most; beyond it, joins shuffle. Ids take 16 bytes a row, five-word shingles some 60.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of text in them, of a table that is broadcast at most; beyond either, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is small, by rows and by the bytes of its strings; counts no further than one row beyond the bound."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    text = F.coalesce(F.sum(sum(wide[1:], wide[0])), F.lit(0)) if wide else F.lit(0)
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), text).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows; counts no further than the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+#: A key is hot if more rows have it than this, and more than a 1024th of all.
+HOT_ROWS = 10_000
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> DataFrame:
+    """rows joined with groups, which has a row per key and in column n how many of rows have it.
+
+    Keys that are hot, fewer than 1024 whatever the data, are broadcast, so their rows stay
+    where they are; the others are shuffled. Both frames are read twice: they should be written tables. Null keys match nothing.
+    """
+    total = groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    bound = max(HOT_ROWS, total >> 10)
+    hot = groups.where(F.col(n) > bound)
+    if not hot.limit(1).count():
+        return rows.join(groups, on)
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(groups.where(F.col(n) <= bound), on))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Arrow batches hold so many bytes, about, and one row at least.
+BATCH_BYTES = 4 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches small enough for rows that are whole documents, and this package on every worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches bounded by rows and bytes, as rows are whole documents, and this package on every worker.
+
+    Plans read these settings when they run, after the call that made them, so they stay; tighter ones are left as they are.
+    """
+    for key, bound in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        own = _bytes(spark.conf.get(key))
+        if not 0 < own <= bound:
+            spark.conf.set(key, str(bound))
     ship_package(spark)
 
 
+def _bytes(x: str) -> int:
+    """A size as Spark writes it; 0 for what is no plain number of bytes, kilobytes or megabytes."""
+    number, unit = x.lower().rstrip("b").rstrip("kmg"), x.lower().rstrip("b")[-1:]
+    return int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0) if number.isdigit() else 0
+
+
+def release() -> None:
+    """Give memory that this worker has freed back to the system: idle workers stay, and others run beside them."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(work):
+    """A function over batches that releases memory when it ends."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 # Files that Python reads and writes in the shared store, by any scheme pyarrow knows.
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.shared import fits, fresh, materialize, partitions, small_batches, table
+from lattica.llm.shared import fits, fresh, lean, materialize, partitions, small_batches, table
 
 _BLOCK = 1 << 15
 
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
             fp = [_signed(fingerprint(x.as_py(), words, seed)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def simhash_links(fps: DataFrame, radius: int = 2) -> DataFrame:

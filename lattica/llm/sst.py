@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.run_index import ranges
-from lattica.llm.shared import materialize, one_thread, partitions, read_file, scratch, small_batches, table, write_file
+from lattica.llm.shared import lean, materialize, one_thread, partitions, read_file, scratch, small_batches, table, write_file
 
 MAGIC = b"LATSST01"
 FOOTER = struct.Struct("<6QIHHQ8s")
@@ -46,7 +46,7 @@ PROBES = 7
 #: Bytes of text that are encoded at a time, about.
 PORTION = 4 << 20
 #: Pieces met first, which the most common ones are among, whose ids a worker remembers at most, and the longest it remembers.
-REMEMBERED, LONG_PIECE = 1_000_000, 64
+REMEMBERED, LONG_PIECE = 250_000, 64
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -208,7 +208,9 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat, ends = np.fromiter(chain.from_iterable(ids), f"<u{self.width}").tobytes(), np.cumsum([0, *map(len, ids)]) * self.width
+        return [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def split(self, text: str) -> list[str]:
         """Pieces whose ids are those of the text when joined."""
@@ -317,7 +319,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
         if shard.keys:
             yield close()
 
-    return materialize(rows.mapInArrow(run, MANIFEST), "sst-manifest")
+    return materialize(rows.mapInArrow(lean(run), MANIFEST), "sst-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -337,7 +339,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition(partitions(spark)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(partitions(spark)).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_sst(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,14 +126,11 @@ class Shared:
         self.hi, self.lo = (p.spans(self.at, self.at + width) for p in (s.prefix, second))
         self.hot_first, self.hot_place, _ = distinct(self.hi, self.lo)
         s.pick(np.flatnonzero(shared & ~hot))
-        end = s.begin + s.strings + width - 1
-        hi, lo = s.prefix.spans(s.begin, end), second.spans(s.begin, end)
-        order = np.lexsort((lo, hi, s.key))
+        sizes = s.strings + width - 1
+        which, _ = same_bytes(chunk.data[ranges(s.begin, sizes)], sizes)  # equal bytes have one anchor
+        order = np.lexsort((which, s.key))
         new = np.ones(len(order), bool)
-        for x in (s.key, hi, lo):
-            y = x[order]
-            new[1:] &= y[1:] == y[:-1]
-        new[1:] = ~new[1:]
+        new[1:] = which[order][1:] != which[order][:-1]
         self.place = np.empty(len(order), np.int64)  # of each segment among the distinct ones, which are in order of their anchors
         self.place[order] = np.cumsum(new) - 1
         self.rows = order[new]
@@ -174,16 +171,12 @@ class Shared:
         return at, np.concatenate([np.repeat(s.doc, s.strings), self.at_doc]), np.concatenate([least[ranges(base, s.strings)], hot])
 
 
-def _span_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of segments that stand one after another, some of them at a time."""
-    out: tuple[list, list] = ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
-    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(text), block)), len(begin)))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        at = begin[a]
-        part = text[at : end[b - 1]]
-        for which in (0, 1):
-            out[which].append(Prefix.of_bytes(part, which).spans(begin[a:b] - at, end[a:b] - at))
-    return np.concatenate(out[0]), np.concatenate(out[1])
+def same_bytes(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each segment among the distinct ones, a segment of each number): segments stand one after another and are compared byte by byte."""
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    array = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))])
+    place = array.dictionary_encode().indices.to_numpy().astype(np.int64)  # numbered as they first come
+    return place, np.unique(place, return_index=True)[1]
 
 
 def solve_least(width: int, blobs: list[bytes]) -> list[bytes]:
@@ -214,7 +207,7 @@ def _solve_segments(width: int, raw: list[bytes]) -> list[bytes]:
     )
     sizes = sizes.astype(np.int64)
     begin = np.cumsum(sizes) - sizes
-    first, place, _ = distinct(*_span_hashes(text, begin, begin + sizes))
+    place, first = same_bytes(text, sizes)
     least = np.full(len(first), LAST)
     np.minimum.at(least, place, ids)
     strings = sizes[first] - width + 1
@@ -282,6 +275,7 @@ def drop_matches(docs: DataFrame, width: int = 50, with_text: bool = True) -> Da
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drop_matches over documents, without the kept bytes and spans: strings of 50 bytes."""
     return drop_matches(table(spark, sf_dir, "documents"), with_text=False).drop("kept", "spans")
 
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import materialize, partitions, read_file, scratch, small_batches, table, write_file
+from lattica.llm.shared import lean, materialize, partitions, read_file, scratch, small_batches, table, write_file
 
 DICT_MAGIC = 0x184D2A5D
 #: Payload bytes in a file before the next one is begun.
@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
         if held:
             yield close()
 
-    return materialize(rows.mapInArrow(run, MANIFEST), "warc-manifest")
+    return materialize(rows.mapInArrow(lean(run), MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    return manifest.select("uri").repartition(partitions(manifest.sparkSession)).mapInArrow(run, schema)
+    return manifest.select("uri").repartition(partitions(manifest.sparkSession)).mapInArrow(lean(run), schema)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def test_recompression_names_equal_passages_alike():
     name, size, a, b = recompress.recompress(words)
     at = {int(w): k for k, w in enumerate(words.windows)}
     for i in range(80 - 35):
-        one, two = at[20 + i], at[len(words.begin) // 2 + 20 + i]
+        one, two = at[20 + i], at[words.n // 2 + 20 + i]
         assert name[a[one] : b[one]].tolist() == name[a[two] : b[two]].tolist()
     assert size.max() >= recompress.LONG
 
@@ -183,3 +183,30 @@ def test_docs_may_have_other_types(spark):
     docs = spark.createDataFrame([(1, "a " * 40), (2, "a " * 40)], "doc_id int, text string").withColumn("TEXT2", F.lit(1))
     assert [r.n_removed for r in suffix_dedup.drop_matches(docs).orderBy("doc_id").collect()] == [0, 80]
     assert [r.n_removed for r in recompress.drop_repeats(docs).orderBy("doc_id").collect()] == [40, 40]
+
+
+def thue_morse(n):
+    """A word of 2^n letters and its complement: polynomial hashes modulo a power of two can't tell them apart."""
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    x, y = thue_morse(12)
+    docs = frame(spark, [(1, " ".join([*map(str, range(34)), x])), (2, " ".join([*map(str, range(34)), y]))])
+    assert [(r.doc_id, r.n_words, r.n_removed) for r in recompress.drop_repeats(docs).orderBy("doc_id").collect()] == [(1, 35, 0), (2, 35, 0)]
+
+
+def test_bytes_that_polynomial_hashes_confuse(spark):
+    x, y = thue_morse(12)
+    docs = [(1, x + "c" * 30), (2, y + "d" * 30), (3, "e" + x), (4, "f" * 60 + y)]
+    assert rows10(suffix_dedup.drop_matches(frame(spark, docs))) == sorted(brute.without_matches(docs), key=repr)
+
+
+def test_runs_become_symbols():
+    words = recompress.Words(Chunk(Chunk.pack([1, 2], [b"a " * 4000, b"x " + b"b c " * 3000])), 35)
+    name, size, a, b = recompress.recompress(words)
+    assert len(name) < 40 and size.sum() == words.n
+    assert (a <= b).all()
