@@ -66,7 +66,7 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES)
 HOT_ROWS = 10_000
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> DataFrame:
+def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total: int | None = None) -> DataFrame:
     """rows joined with groups, which has a row per key and in column n how many of rows have it.
 
     Keys that are hot, fewer than 1024 whatever the data, are broadcast, so their rows stay

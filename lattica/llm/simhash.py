@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.shared import fits, fresh, lean, materialize, partitions, small_batches, table
+from lattica.llm.shared import fits, fresh, join_hot, lean, materialize, partitions, small_batches, table
 
 _BLOCK = 1 << 15
 
@@ -94,10 +94,10 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: i
     row of it has an id, component_id is null.
     """
     own = materialize(fingerprints(docs, words, seed), "simhash")
-    reps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    named = components(simhash_links(reps.where("rep is not null"), radius))
-    named = reps.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-reps")
+    named = components(simhash_links(reps.where("rep is not null").select("fp", "rep"), radius))
+    named = reps.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n")
+    return join_hot(own, materialize(named, "simhash-named"), ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -113,6 +113,7 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = 2, seed: int = 42)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_components over documents: three-word shingles, at most 2 bits."""
     return simhash_components(table(spark, sf_dir, "documents"))
 
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import lean, materialize, partitions, read_file, scratch, small_batches, table, write_file
+from lattica.llm.shared import join_hot, lean, materialize, partitions, read_file, scratch, small_batches, table, write_file
 
 DICT_MAGIC = 0x184D2A5D
 #: Payload bytes in a file before the next one is begun.
@@ -112,10 +112,10 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     smallest page_id is the response; rows that repeat that page_id are responses too. If
     no page of a group has an id, all are responses.
     """
-    p = materialize(pages.select("page_id", "size", "sha"), "warc-digests")
-    first = p.where(F.col("size") >= min_bytes).groupBy("size", "sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = p.groupBy("page_id", "size", "sha").agg(F.lit(1).alias("one")).drop("one").join(first, ["size", "sha"])
-    return again.where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    p = materialize(pages.select("page_id", "size", "sha").where(F.col("size") >= min_bytes), "warc-digests")
+    first = p.groupBy("size", "sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    again = join_hot(p, materialize(first, "warc-first"), ["size", "sha"], "n").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return again.select("page_id", "size", "sha", "refers_to").distinct()
 
 
 MANIFEST = "uri string, records long"
@@ -124,6 +124,7 @@ MANIFEST = "uri string, records long"
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html; null html is empty) and return the manifest, a row per file.
 
+    Other columns are ignored, whatever their names; an empty table gives no files. Rows that repeat a page_id have a record each.
     The html crosses the network once, dealt by page and digest: a payload that a third of
     all pages share is spread like any other.
     """
@@ -159,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """A row per record: page_id, payload_bytes and payload_digest of the full payload, record_type, refers_to, url."""
+    """A row per record, in no order: page_id, payload_bytes and payload_digest of the full payload, record_type, refers_to, url."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,6 +183,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, read back from the archives."""
     return read_archives(write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))).drop("url")
 
 

@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from lattica.llm import components, decontaminate, exact_dedup, mixing, registry, secrets, simhash, sst, toxicity, warc
+from lattica.llm import components, decontaminate, exact_dedup, mixing, registry, secrets, shared, simhash, sst, toxicity, warc
 from lattica.llm.shared import fresh, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, gone_id long, bad_id long, copies long, bound long, fp long, h long, w string, rep long"
@@ -346,6 +346,53 @@ def test_index_outlives_a_batch(spark, tmp_path):
     spark.sql("DROP TABLE index_of_test")
 
 
+def test_a_batch_again_gives_the_same(spark, tmp_path, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), "index_of_replays", 4)
+    one, two = frame(spark, [(1, "a"), (2, "b")]), frame(spark, [(3, "B"), (4, "c"), (5, "d")])
+    first = rows(index.ingest(one, "one"))
+    assert [r[3] for r in first] == [True, True]
+    assert rows(index.ingest(one, "one")) == first and index.read().count() == 2
+    # lost after the result was stored, before anything was appended
+    with monkeypatch.context() as m:
+        m.setattr(index, "append", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.ingest(two, "two", str(tmp_path / "two"))
+    stored = rows(spark.read.parquet(str(tmp_path / "two")))
+    # lost in the middle of the append
+    _, new = index.decide(two, "two")
+    index.append(new.limit(1), "two")
+    assert rows(index.ingest(two, "two", str(tmp_path / "two"))) == stored and [r[3] for r in stored] == [False, True, True]
+    assert rows(index.ingest(one, "one")) == first and index.read().count() == 4
+    index.compact(str(tmp_path / "compacted"))
+    assert rows(index.ingest(two, "two")) == stored and index.read().count() == 4
+    assert [r[3] for r in rows(index.ingest(two, "three"))] == [False, False, False]
+    plan = index.state(new)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1  # of the batch's side only
+
+
+def test_index_of_many_batches_against_plain_version(spark, tmp_path):
+    r = random.Random(8)
+    index, known = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), "index_of_batches", 4), {}
+    for batch in range(3):
+        docs = [(batch * 100 + i, r.choice("abcdefghij") * r.randint(1, 3)) for i in range(30)]
+        want = []
+        for d, t, *_ in docs:
+            same = [x for x, y in docs if y.lower() == t.lower()]
+            keep = known.get(t.lower(), max(same))
+            want.append((d, keep, len(same), d == keep))
+        known |= {t.lower(): known.get(t.lower(), max(x for x, y in docs if y.lower() == t.lower())) for _, t in docs}
+        assert [x[:4] for x in rows(index.ingest(frame(spark, docs)))] == sorted(want, key=repr)
+
+
+def test_hot_keys_are_joined_alike(spark, monkeypatch):
+    left = spark.createDataFrame([(i, i % 3 if i % 2 else 7) for i in range(200)] + [(500, None)], "id long, k long")
+    groups = left.groupBy("k").agg(F.count("*").alias("n"))
+    want = sorted(map(tuple, left.join(groups, "k").collect()))
+    for bound in (10, 1000):
+        monkeypatch.setattr(shared, "HOT_ROWS", bound)
+        assert sorted(map(tuple, shared.join_hot(left, groups, ["k"], "n").collect())) == want
+
+
 # all
 
 
