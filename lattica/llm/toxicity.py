@@ -13,12 +13,13 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import fresh, small_batches, table
+from lattica.llm.shared import fresh, release, small_batches, table
 
 THRESHOLD = 0.7
 #: Labelled rows that the lexicon is learned from at most: these many toxic ones and these many others, by a hash of their ids.
@@ -26,11 +27,15 @@ MAX_TOXIC, MAX_OTHER = 2000, 4000
 #: Words whose place in the automaton a worker remembers at most.
 REMEMBERED = 200_000
 STEM = range(4, 9)
+#: Labelled rows are near copies from this Jaccard similarity of their words on; pairs of min-hashes by which they are looked for.
+SIMILAR, COPY_BANDS = 0.5, 12
 #: Words before and after a hit that its score looks at.
 WINDOW = 8
 #: What each edit leaves of a term's chance, where no labelled row has the term so misspelled; rows that have it give a chance of their own.
 EDIT = 0.9
 QUOTES = "\"“”„«»‹›‘’"
+#: Share of its chance that a quoted or reported term keeps before any labelled row is seen, and the rows that this guess counts for.
+QUOTED, QUOTED_ROWS = 0.3, 10
 REPORTING = frozenset("said says called calls quote quoted quotes word words term terms wrote writes called named insult insults slur slurs dit mot wort sagte dijo palabra".split())
 
 
@@ -43,12 +48,15 @@ def fold(word: str) -> str:
     return unicodedata.normalize("NFC", word.casefold())
 
 
-_EDGE = re.compile(r"^[^\w@$!]+|[^\w@$]+$")
+_HEAD = re.compile(r"[^\w@$!]*")
 
 
 def core(token: str) -> str:
-    """A token without the marks around it, folded; digits and signs inside stay, as they may stand for letters."""
-    return fold(_EDGE.sub("", token))
+    """A token without the marks around it, folded; digits and signs inside stay, as they may stand for letters. Each character is looked at once."""
+    start, stop = _HEAD.match(token).end(), len(token)
+    while stop > start and not (token[stop - 1].isalnum() or token[stop - 1] in "_@$"):
+        stop -= 1
+    return fold(token[start:stop])
 
 
 class Automaton:
@@ -143,6 +151,8 @@ class Model:
     stems: dict[str, float] = field(default_factory=dict)
     #: of misspelled hits, by term and edits
     fuzzy: dict[tuple[str, int], float] = field(default_factory=dict)
+    #: what is left of a term's chance where it is quoted or told of
+    quoted: float = QUOTED
 
 
 class Scorer:
@@ -182,50 +192,75 @@ class Scorer:
         hit = self.look_up(tokens)
         if not hit:
             return base
-        places = [i for i, t in enumerate(tokens) if t in hit]
         doubt, seen = 1.0 - base, Counter()
+        for t, quoted, near in self.contexts(tokens, hit):
+            p = self.chance(self.hits[t])
+            if quoted:
+                p *= self.model.quoted
+            elif near:
+                p = 1 - (1 - p) ** 1.5
+            term = self.hits[t][0]
+            seen[term] += 1
+            doubt *= (1 - min(p, 0.99)) ** (1 / seen[term] ** 2)  # the same word again adds ever less
+        return 1.0 - doubt
+
+    def contexts(self, tokens: list[str], hit: set[str]) -> Iterator[tuple[str, bool, bool]]:
+        """(token, whether it is quoted or told of, whether another hit is near) of each place that hits."""
+        places = [i for i, t in enumerate(tokens) if t in hit]
         marks = [0]
         for t in tokens:
             marks.append(marks[-1] + sum(c in QUOTES for c in t))
         for k, i in enumerate(places):
-            p = self.chance(self.hits[tokens[i]])
-            near = sum(abs(places[j] - i) <= WINDOW for j in (k - 1, k + 1) if 0 <= j < len(places))
+            near = any(abs(places[j] - i) <= WINDOW for j in (k - 1, k + 1) if 0 <= j < len(places))
             lo, hi = max(0, i - WINDOW), min(len(tokens), i + WINDOW + 1)
             own = marks[i + 1] - marks[i]
             inside = own >= 2 or (marks[i] % 2 == 1 and marks[hi] > marks[i + 1] - own and marks[i] > marks[lo]) or (own == 1 and (marks[hi] - marks[i + 1] > 0 or marks[i] - marks[lo] > 0))
             told = any(core(x) in REPORTING for x in tokens[max(0, i - 2) : i])
-            if inside or (told and not near):
-                p *= 0.3
-            elif near:
-                p = 1 - (1 - p) ** 1.5
-            term = self.hits[tokens[i]][0]
-            seen[term] += 1
-            if seen[term] <= 3:  # the same word again adds little
-                doubt *= (1 - min(p, 0.99)) ** (1 / seen[term])
-        return 1.0 - doubt
+            yield tokens[i], inside or (told and not near), near
 
 
-def _sketch(words: list[str]) -> tuple[int, int]:
-    """Equal for copies, likely equal for near copies."""
-    h = xxhash.xxh64_intdigest
-    ws = set(words) or {""}
-    return min(h(w, 1) for w in ws), min(h(w, 2) for w in ws)
+def near_copies(rows: list[frozenset[str]]) -> list[int]:
+    """For each set of words, the first one of its family: those that one row of it resembles by a Jaccard similarity of SIMILAR or more.
+
+    Sets that share a pair of min-hashes are compared; none is taken for alike unseen.
+    """
+    known: dict[str, int] = {}
+    add, by = np.random.default_rng(6).integers(0, 1 << 64, (2, 2 * COPY_BANDS, 1), np.uint64) | np.array([[[0]], [[1]]], np.uint64)
+    met: dict[tuple[int, bytes], list[int]] = defaultdict(list)
+    family = list(range(len(rows)))
+    for k, words in enumerate(rows):
+        own = np.array([known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in sorted(words)], np.uint64)
+        if not len(own):
+            continue
+        x = (own ^ add) * by
+        low = (x ^ (x >> np.uint64(29))).min(axis=1).reshape(COPY_BANDS, 2)
+        keys = [(i, r.tobytes()) for i, r in enumerate(low)]
+        for first in sorted({j for key in keys for j in met[key]}):
+            both = len(words & rows[first])
+            if both >= SIMILAR * (len(words) + len(rows[first]) - both):
+                family[k] = first
+                break
+        else:
+            for key in keys:
+                met[key].append(k)
+    return family
 
 
 def learn(rows: Iterable[tuple[str | None, int]]) -> Model:
     """A model from (text, toxic) pairs; without toxic rows it finds nothing and scores the base rate.
 
-    Copies and near copies of a row count once, or words of a much-copied toxic row would
-    look toxic.
+    Every row is used, but a word counts once in a family of near copies with one label, or the words of
+    a much-copied toxic row would look toxic.
     """
-    docs, seen = [], set()
+    found, texts = [], []
     pool: dict[str, str] = {}
     for text, y in rows:
-        words = {pool.setdefault(w, w) for w in map(core, set((text or "").split())) if w}
-        mark = (*_sketch(list(words)), y)
-        if mark not in seen:
-            seen.add(mark)
-            docs.append((tuple(words), y))
+        found.append(frozenset(pool.setdefault(w, w) for w in map(core, set((text or "").split())) if w))
+        texts.append((text or "", y))
+    families: dict[tuple[int, int], set[str]] = defaultdict(set)
+    for first, words, (_, y) in zip(near_copies(found), found, texts, strict=True):
+        families[first, y] |= words
+    docs = [(tuple(sorted(words)), y) for (_, y), words in families.items()]
     n = Counter(y for _, y in docs)
     if not n[1] or not n[0]:
         return Model(base=min(0.5, max(0.01, n[1] / max(1, len(docs)))))
@@ -275,14 +310,20 @@ def learn(rows: Iterable[tuple[str | None, int]]) -> Model:
         missed[y] += not found
     model.fuzzy = {k: (c[1] * even + 0.5) / (c[1] * even + c[0] + 1.0) for k, c in fuzzy.items()}
     model.base = min(0.6, max(0.01, (missed[1] + 0.5) / (missed[0] + missed[1] + 1)))
+    told = [0, 0]  # rows whose exact hits are all quoted or told of
+    for text, y in texts:
+        tokens = text.split()
+        hit = {t for t in seeker.look_up(tokens) if not seeker.hits[t][1]}
+        told[y] += bool(hit) and all(quoted for _, quoted, _ in seeker.contexts(tokens, hit))
+    model.quoted = (told[1] * even + QUOTED * QUOTED_ROWS) / (told[1] * even + told[0] + QUOTED_ROWS)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Model:
     """Learn from labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
-    The sample is bounded by max_toxic and max_other, taken by a hash of the doc_id. Rows with null ids or labels are left out, a doc_id with
-    several labels counts as toxic if one says so.
+    The sample is bounded by max_toxic and max_other, taken by a hash of the doc_id; every row of it is used. Rows with null ids or labels are left out, a doc_id with
+    several labels counts as toxic if one says so, one with several texts gives the least of them.
     """
     y = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     y = y.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
@@ -290,7 +331,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ot
     picked = y.where("toxic = 1").orderBy(order).limit(max_toxic).unionByName(y.where("toxic = 0").orderBy(order).limit(max_other))
     # max_toxic + max_other ids at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    return learn((r["text"], r["toxic"]) for r in rows.select("text", "toxic", "doc_id").toLocalIterator())
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id")
+    return learn((r["text"], r["toxic"]) for r in rows.toLocalIterator())
 
 
 def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -301,8 +343,12 @@ def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(sent.value)
-        for t in texts:
-            yield pd.Series([scorer.score(x) for x in t], dtype="float64")
+        try:
+            for t in texts:
+                yield pd.Series([scorer.score(x) for x in t], dtype="float64")
+        finally:
+            del scorer
+            release()
 
     score = F.pandas_udf(run, "double")
     score = score.asNondeterministic()  # else a filter on it would run it again
@@ -310,13 +356,14 @@ def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold, with the columns of docs."""
+    """The rows of docs that score below the threshold, with the columns of docs; repeated rows are all kept or all dropped."""
     model = train(docs, labels)
     (own,) = fresh(docs, "score")
     return scores(docs, model, own).where(F.col(own) < threshold).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a lexicon learned from the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scores(docs, train(docs, table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
