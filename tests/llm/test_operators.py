@@ -323,6 +323,27 @@ def test_op7_sums_come_near_targets(spark, medium):
     assert abs(sum(taken.values()) - sum(target.values())) < 0.03 * sum(target.values())
 
 
+def test_rows_without_ids_are_drawn_apart(spark):
+    docs = [(None, "w " * 10) for _ in range(1000)] + [(7, "v " * 8)] * 500 + [(i, "u " * 5) for i in range(2000)]
+    df = spark.createDataFrame([(d, t, "abc"[i % 2 if d is None else 2]) for i, (d, t) in enumerate(docs)], "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("copies", "h1", "p", "s", "salt", "doc")})
+    want = {r.source: r.target for r in mixing.source_targets(mixing.sizes(df)).collect()}
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    taken = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    assert all(abs(taken[s] - want[s]) <= 0.05 * want[s] for s in want)
+
+
+def test_draws_are_uniform_and_independent(spark):
+    n = 4000
+    s = mixing.sizes(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source")))
+    hits = s.select(*(mixing._hit(F.col("h1"), F.col("h2"), F.lit(k), F.lit(0.3)).cast("int").alias(f"x{k}") for k in (0, 1, 63)))
+    found = [tuple(r) for r in hits.collect()]
+    for k in range(3):
+        assert abs(sum(x[k] for x in found) - 0.3 * n) < 4 * (n * 0.21) ** 0.5
+        assert abs(sum(a[k] * b[k] for a, b in zip(found, found[1:], strict=False)) - 0.09 * n) < 4 * (n * 0.09) ** 0.5
+    assert abs(sum(x[0] * x[1] for x in found) - 0.09 * n) < 4 * (n * 0.09) ** 0.5
+
+
 # 8 exact
 
 
