@@ -48,8 +48,15 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     a document that lacks at most floor((1 - threshold) n) of an item's n shingles holds
     one of them, so the search loses nothing. Verification compares shingles as strings.
     Rows that share a doc_id count as one document, rows that share an item_id with different texts as
-    one item each (the id may repeat); null ids match nothing. Either table may be empty.
+    one item each (the id may repeat); null ids match nothing. Either table may be empty. Other columns
+    are ignored, whatever their names.
     """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return _contaminated(d, items, n, threshold)
+
+
+def _contaminated(d: DataFrame, items: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The same for (doc_id, text) without nulls; the id may be of any type."""
     it = items.select(F.col("item_id").cast("long").alias("item_id"), normal_words(F.col("text")).alias("w")).where("item_id is not null and size(w) > 0").distinct()
     it = it.withColumn("len", F.least(F.size("w"), F.lit(n)))
     own = F.coalesce(*(F.when(F.col("len") == k, F.array_distinct(_texts(F.col("w"), k))) for k in range(1, n + 1)))
@@ -63,7 +70,6 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     lengths = sorted(r[0] for r in it.select("len").distinct().collect())  # n values at most
     small_sig = fits(sig)
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     words = d.select("doc_id", normal_words(F.col("text")).alias("w"))
     seen = None
     for k in lengths:
@@ -82,20 +88,29 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     if held is None:
         held = near.select("doc_id", F.lit("").alias("shingle")).limit(0)
     each = it.select("item_id", "version", "n_shingles", F.explode("shingles").alias("shingle"))
-    hits = held.join(fits(each), "shingle").join(cand, ["doc_id", "item_id"], "left_semi")
-    found = hits.groupBy("doc_id", "item_id", "version", "n_shingles").agg(F.count_distinct("shingle").alias("n_matched"))
+    # only what a candidate's item needs is looked for, so a shingle that many items share makes no pairs of documents and items
+    need = cand.join(fits(each), "item_id")
+    hits = need.join(held, ["doc_id", "shingle"], "left_semi")
+    found = hits.groupBy("doc_id", "item_id", "version", "n_shingles").agg(F.count("*").alias("n_matched"))
     found = found.where(F.col("n_matched") >= F.ceil(F.round(threshold * F.col("n_shingles"), 6)))
     return found.select("doc_id", "item_id", F.col("n_shingles").cast("long").alias("n_shingles"), "n_matched", (F.col("n_matched") / F.col("n_shingles")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs without the documents that hold an item; rows without a doc_id stay."""
+    """docs without the documents that hold an item, with the columns of docs, whatever their names.
+
+    All rows of a doc_id go if one of them, or all together, hold an item; a row without a doc_id is judged by its own text.
+    """
     (bad_id,) = fresh(docs, "bad_id")
-    bad = materialize(contaminated(docs, items, n, threshold).select(F.col("doc_id").alias(bad_id)).distinct(), "contaminated")
-    return docs.join(fits(bad), F.col("doc_id").cast("long") == F.col(bad_id), "left_anti")
+    text = F.col("text").cast("string")
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text "), F.md5(text)))
+    d = docs.select(key.alias("doc_id"), text.alias("text")).where("doc_id is not null and text is not null")
+    bad = materialize(_contaminated(d, items, n, threshold).select(F.col("doc_id").alias(bad_id)).distinct(), "contaminated")
+    return docs.join(fits(bad), key == F.col(bad_id), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +34,9 @@ _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
 _INDEX = {k: {c: i for i, c in enumerate(v)} for k, v in ENCODINGS.items()}
 
 #: Bounds of the bins of combined p-values; a threshold is one of them.
-BINS = (0.0, 1e-6, 1e-5, 1e-4, 1e-3, 3e-3, 0.01, 0.03, 0.1, 0.2, 0.3, 0.4, 0.5, 1.0)
+BINS = (0.0, 1e-12, 1e-9, 1e-7, 1e-6, 1e-5, 1e-4, 3e-4, 1e-3, 3e-3, 0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 1.0)
+#: Share of text with p above 0.5, at a guess; runs of text that the first guess of their law counts for; rounds of fitting.
+STRAY, GUESS, FITS = 0.005, 2.0, 60
 
 
 def encoding_of(s: str) -> str | None:
@@ -130,25 +134,63 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         if len(core) >= 20 and (name := encoding_of(core)):
             found.append((at + cut, m.end(), name, length_class(len(core)), battery_p(core, name)))
     base.sort()
-    covered = [(s, e) for s, _, e in base]
-    return base, [c for c in found if not any(s < c[1] and c[0] < e for s, e in covered)]
+    starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+
+    def free(start: int, stop: int) -> bool:
+        k = bisect_left(starts, stop)  # of the spans that begin before it stops, one may end after it starts
+        return not k or furthest[k - 1] <= start
+
+    return base, [c for c in found if free(c[0], c[1])]
+
+
+def _falling(mass: list[float]) -> list[float]:
+    """The law over bins, nearest to mass by weighted squares, whose density falls as p rises; above 0.5 it is STRAY."""
+    blocks: list[list[float]] = []  # mass, width, bins
+    for m, w in zip(mass[:-1], WIDTHS[:-1], strict=True):
+        blocks.append([m, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] < blocks[-1][0] / blocks[-1][1]:
+            m, w, n = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + m, blocks[-1][1] + w, blocks[-1][2] + n]
+    density = [m / w for m, w, n in blocks for _ in range(n)]
+    total = sum(d * w for d, w in zip(density, WIDTHS, strict=False))
+    return [d * w / total * (1 - STRAY) for d, w in zip(density, WIDTHS, strict=False)] + [STRAY]
+
+
+WIDTHS = [b - a for a, b in zip(BINS, BINS[1:], strict=False)]
+#: The first guess of text's law: even over the decades of p.
+TEXT = _falling([3.0, *(math.log10(b / a) for a, b in zip(BINS[1:], BINS[2:-1], strict=False)), 0.0])
 
 
 def thresholds(counts: dict[tuple[str, int], list[int]], q: float) -> dict[tuple[str, int], float]:
     """The least p from which a run counts as random, for each encoding and length class.
 
-    Random strings have uniform p, text has p near 0 (the nearer, the longer it
-    is). So the density above 0.5 tells how many random strings a class has, and
-    what exceeds it above a bound is text. The bound is the least at which that excess is at most
-    q of all runs above it: the false-discovery rate is held in each length class by itself.
+    A run is random, and then its p is uniform, or text, and then p is near 0, the nearer, the longer it is. The law of
+    text's p is fitted for each length class over all its encodings, since one class may have few runs, together with
+    the share of text in each class (expectation and maximisation; a class's share starts from one run of
+    either kind, so without evidence neither is certain). That gives each bin of a class the chance that its runs are text.
+    The bound is the least at which that chance is at most one half, and at most q on average over all runs above it: the
+    false-discovery rate is held in each class by itself. Nor may the runs above it exceed by more than q of them what the
+    number above 0.5, and a standard deviation of it, lets expect of random ones: so copies of one text, which no
+    falling law describes, are not taken for random. Where no bound will do, it is above 1.
     """
+    text_law = {n: TEXT for _, n in counts}
+    text: dict[tuple[str, int], list[float]] = {}
+    share = dict.fromkeys(counts, 0.5)
+    for _ in range(FITS):
+        for key, n in counts.items():
+            law, x = text_law[key[1]], share[key]
+            text[key] = [x * g / (x * g + (1 - x) * u) for g, u in zip(law, WIDTHS, strict=True)]
+            share[key] = (1 + sum(a * b for a, b in zip(n, text[key], strict=True))) / (2 + sum(n))
+        for size in text_law:
+            own = [key for key in counts if key[1] == size]
+            text_law[size] = _falling([GUESS * g + sum(counts[key][i] * text[key][i] for key in own) for i, g in enumerate(TEXT)])
     out = {}
     for key, n in counts.items():
-        dense = 2 * n[-1] + 1
-        out[key] = 0.5
+        out[key], wrong, above = 2.0, 0.0, 0
         for i in range(len(BINS) - 2, 0, -1):
-            above = sum(n[i:])
-            if above and max(0.0, above - dense * (1 - BINS[i])) > q * above + 1:
+            wrong, above = wrong + n[i] * text[key][i], above + n[i]
+            usual = 2 * (n[-1] + math.sqrt(n[-1])) * (1 - BINS[i])
+            if text[key][i] > 0.5 or max(wrong, above - usual) > q * above:
                 break
             out[key] = BINS[i]
     return out
@@ -178,14 +220,14 @@ def scanned(docs: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame, q: float = 0.1) -> DataFrame:
     """One row per row of docs: doc_id, spans array<struct<start, kind, stop>> by start, then kind; base ones and random ones.
 
-    Null and empty texts have none. Other columns are ignored. The counts from which
+    Null and empty texts have none. Other columns are ignored, whatever their names; repeated rows give a row each. The counts from which
     the bounds derive cover all documents: one row per encoding, length class and bin.
     """
     s = materialize(scanned(docs), "secrets")
     c = s.select(F.explode("more").alias("c"))
     bin_of = sum((F.col("c.p") >= b).cast("int") for b in BINS[1:-1])
     counts: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0] * (len(BINS) - 1))
-    # at most 7 encodings x 6 classes x 13 bins
+    # at most 7 encodings x 6 classes x 24 bins
     for r in c.select("c.enc", "c.len", bin_of.alias("bin")).groupBy("enc", "len", "bin").count().collect():
         counts[r["enc"], r["len"]][r["bin"]] = r["count"]
     bounds = thresholds(counts, q)
@@ -201,6 +243,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: base spans counted by kind, and all spans with the random ones."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     n = {k: F.size(F.filter("base", (lambda i: lambda x: x["kind"] == i)(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])}
     return found.select("doc_id", *n.values(), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

@@ -1,5 +1,6 @@
 """The other operators against plain versions, SQL, round trips and held-out accuracy."""
 
+import bisect
 import math
 import random
 import re
@@ -87,6 +88,36 @@ def test_battery_is_uniform_for_random_strings():
             assert abs(sum(x < q for x in p) / len(p) - q) < 0.09
 
 
+def reported(sizes, q=0.1, seed=0):
+    """{class: (share of text in what is reported, share of random strings reported)} for classes of so many random strings and runs of text."""
+    r, counts, items = random.Random(seed), defaultdict(lambda: [0] * (len(secrets.BINS) - 1)), defaultdict(list)
+    for key, numbers in sizes.items():
+        for is_text, n in enumerate(numbers):
+            for _ in range(n):
+                p = 10 ** -r.uniform(0.3, 14) if is_text else r.random()
+                counts[key][min(bisect.bisect_right(secrets.BINS, p), len(secrets.BINS) - 1) - 1] += 1
+                items[key].append((p, is_text))
+    bounds = secrets.thresholds(dict(counts), q)
+    hits = {k: [t for p, t in x if p >= bounds[k]] for k, x in items.items()}
+    return {k: (sum(x) / max(1, len(x)), x.count(0) / max(1, sizes[k][0])) for k, x in hits.items()}
+
+
+@pytest.mark.parametrize(("sizes", "power"), [({("hex", 0): (1, 1)}, 0.3), ({("hex", 0): (0, 2)}, 0), ({("hex", 2): (3, 30)}, 0.2), ({("hex", 0): (500, 500)}, 0.8), ({("hex", 0): (500, 500), ("base62", 0): (1, 1), ("base64", 3): (20, 0)}, 0.4), ({("hex", 0): (5, 500)}, 0)])
+def test_false_discoveries_of_sparse_and_dense_classes(sizes, power):
+    trials = [reported(sizes, seed=k) for k in range(60 if sum(map(sum, sizes.values())) < 100 else 15)]
+    for key in sizes:
+        assert sum(t[key][0] for t in trials) / len(trials) <= 0.12
+        assert sum(t[key][1] for t in trials) / len(trials) >= power * (sizes[key][0] > 0)
+
+
+def test_no_report_without_evidence():
+    one = [0] * (len(secrets.BINS) - 1)
+    for p, n in ((1e-5, 1), (0.003, 2)):
+        counts = one.copy()
+        counts[bisect.bisect_right(secrets.BINS, p) - 1] = n
+        assert secrets.thresholds({("base62", 1): counts}, 0.1)["base62", 1] > p
+
+
 # 2 shards
 
 
@@ -225,6 +256,14 @@ def test_containment_brute(spark, small):
     assert decontaminate.contaminated(frame(spark, []), empty).count() == 0
 
 
+def test_rows_without_ids_are_decontaminated(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = [(None, f"x y {item} z"), (None, "clean text of five words"), (3, item), (3, "other"), (4, None), (None, None)]
+    items = spark.createDataFrame([(1, item), (2, None), (None, "clean text of five words")], "item_id long, text string")
+    out = decontaminate.decontaminate(frame(spark, docs), items)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(None, "clean text of five words"), (4, None), (None, None)], key=repr)
+
+
 def test_op5_plan_is_native(spark, small):
     plan = decontaminate.op5_decontaminate(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
