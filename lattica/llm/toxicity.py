@@ -224,12 +224,11 @@ def near_copies(rows: list[frozenset[str]]) -> list[int]:
 
     Sets that share a pair of min-hashes are compared; none is taken for alike unseen.
     """
-    known: dict[str, int] = {}
     add, by = np.random.default_rng(6).integers(0, 1 << 64, (2, 2 * COPY_BANDS, 1), np.uint64) | np.array([[[0]], [[1]]], np.uint64)
     met: dict[tuple[int, bytes], list[int]] = defaultdict(list)
     family = list(range(len(rows)))
     for k, words in enumerate(rows):
-        own = np.array([known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in sorted(words)], np.uint64)
+        own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         if not len(own):
             continue
         x = (own ^ add) * by
@@ -257,28 +256,33 @@ def learn(rows: Iterable[tuple[str | None, int]]) -> Model:
     for text, y in rows:
         found.append(frozenset(pool.setdefault(w, w) for w in map(core, set((text or "").split())) if w))
         texts.append((text or "", y))
-    families: dict[tuple[int, int], set[str]] = defaultdict(set)
+    families: dict[tuple[int, int], frozenset[str]] = {}
     for first, words, (_, y) in zip(near_copies(found), found, texts, strict=True):
-        families[first, y] |= words
-    docs = [(tuple(sorted(words)), y) for (_, y), words in families.items()]
+        families[first, y] = families[first, y] | words if (first, y) in families else words
+    docs = [(words, y) for (_, y), words in families.items()]
+    del found, families
     n = Counter(y for _, y in docs)
     if not n[1] or not n[0]:
         return Model(base=min(0.5, max(0.01, n[1] / max(1, len(docs)))))
-    w_in: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    s_in: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    toxic_words = {w for ws, y in docs if y for w in ws}
-    toxic_stems = {w[:k] for w in toxic_words for k in STEM if len(w) > k}
-    variety: dict[str, set[str]] = defaultdict(set)
+    least_w, least_s = max(4, n[1] // 200), max(6, n[1] // 150)
+
+    def stems_of(words: Iterable[str]) -> set[str]:
+        return {w[:k] for w in words for k in STEM if len(w) > k}
+
+    w_toxic, s_toxic = Counter(), Counter()
     for ws, y in docs:
-        for w in toxic_words.intersection(ws):
-            w_in[w][y] += 1
-        for s in {w[:k] for w in ws for k in STEM if len(w) > k} & toxic_stems:
-            s_in[s][y] += 1
         if y:
-            for w in ws:
-                for k in STEM:
-                    if len(w) > k:
-                        variety[w[:k]].add(w)
+            w_toxic.update(ws)
+            s_toxic.update(stems_of(ws))
+    w_in = {w: [0, a] for w, a in w_toxic.items() if a >= least_w}
+    s_in = {x: [0, a] for x, a in s_toxic.items() if a >= least_s}
+    del s_toxic
+    for ws, y in docs:
+        if not y:
+            for w in ws & w_in.keys():
+                w_in[w][0] += 1
+            for x in stems_of(ws) & s_in.keys():
+                s_in[x][0] += 1
     # what a word of toxic rows only would show by chance
     prior = n[1] / (n[0] + n[1])
     # the sample holds more toxic rows than the table, so chances are of equal classes
@@ -290,13 +294,18 @@ def learn(rows: Iterable[tuple[str | None, int]]) -> Model:
     def holds(a: int, b: int, least: int) -> bool:
         return a >= least and chance(a, b) >= 0.97 and a * math.log(1 / max(prior, 1e-9)) > 8 and b <= 0.03 * a * even
 
-    words = {w: chance(*reversed(c)) for w, c in w_in.items() if len(w) >= 3 and holds(c[1], c[0], max(4, n[1] // 200))}
+    words = {w: chance(*reversed(c)) for w, c in w_in.items() if len(w) >= 3 and holds(c[1], c[0], least_w)}
+    likely = {x for x, (b, a) in s_in.items() if holds(a, b, least_s)}
+    variety: dict[str, set[str]] = defaultdict(set)
+    for w in w_toxic:
+        for x in stems_of([w]) & likely:
+            variety[x].add(w)
     stems: dict[str, float] = {}
-    for s in sorted(s_in, key=lambda s: (len(s), s)):
-        b, a = s_in[s]
+    for x in sorted(likely, key=lambda x: (len(x), x)):
+        b, a = s_in[x]
         # a stem has many endings, none of which makes up most of its rows
-        if holds(a, b, max(6, n[1] // 150)) and len(variety[s]) >= max(5, a // 8) and not any(s[:k] in stems for k in range(4, len(s))) and max((w_in[w][1] for w in variety[s]), default=0) <= 0.6 * a:
-            stems[s] = chance(a, b)
+        if len(variety[x]) >= max(5, a // 8) and not any(x[:k] in stems for k in range(4, len(x))) and max(w_toxic[w] for w in variety[x]) <= 0.6 * a:
+            stems[x] = chance(a, b)
     words = {w: p for w, p in words.items() if not any(w[:k] in stems for k in STEM)}
     model = Model(words=words, stems=stems)
     seeker = Scorer(model)
@@ -332,7 +341,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ot
     # max_toxic + max_other ids at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id")
-    return learn((r["text"], r["toxic"]) for r in rows.toLocalIterator())
+    model = learn((r["text"], r["toxic"]) for r in rows.toLocalIterator())
+    release()
+    return model
 
 
 def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
