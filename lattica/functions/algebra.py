@@ -6,16 +6,19 @@ User-defined ones take the same form.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.errors import InvalidValue
 
 #: Stands for "unreachable" where a number must: the largest 32-bit float.
 INFINITY = 3.4028234663852886e38
+LARGEST = (1 << 63) - 1
+#: Values that a monoid of the caller's folds at a time, about.
+PART = 1024
 
 
 @dataclass(frozen=True)
@@ -101,16 +104,39 @@ class Monoid:
     op: BinaryOp
     identity: float | int
     reduce: Callable[[Column], Column] | None = None
+    #: The operator is the caller's: it has no aggregate of Spark's.
+    own: bool = False
 
-    def aggregate(self, c: Column) -> Column:
-        if self.reduce is None:
+    def identity_of(self, kind: str) -> float | int:
+        """The identity among values of a type: the largest 64-bit integer stands for "unreachable" among integers."""
+        return LARGEST if self.identity == INFINITY and kind == "bigint" else self.identity
+
+    def over(self, df: DataFrame, keys: Sequence[str], term: Column) -> DataFrame:
+        """(keys, v): the monoid over term for each key that df has; without keys one row, the identity if df has none.
+
+        Integers stay 64-bit integers, but for products, which Spark sums up as doubles.
+        """
+        if self.reduce is None and not self.own:
             raise InvalidValue(f"{self.name} is not associative, so it can't reduce")
-        return F.coalesce(self.reduce(c), F.lit(self.identity))
+        d = df.select(*keys, term.alias("v"))
+        kind = dict(d.dtypes)["v"]
+        out = self._folded(d, keys, kind) if self.own else d.groupBy(*keys).agg(self.reduce(F.col("v")).alias("v"))
+        return out if keys else out.select(F.coalesce("v", F.lit(self.identity_of(kind)).cast(dict(out.dtypes)["v"])).alias("v"))
+
+    def _folded(self, d: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
+        """Groups are folded in parts of about PART values, then the parts, and so on, so no task gathers a whole large group."""
+        largest = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        fold = F.reduce(F.collect_list("v"), F.lit(self.identity_of(kind)).cast(kind), lambda x, y: self.op(x, y).cast(kind))
+        parts, place = -(-largest // PART), F.monotonically_increasing_id()
+        while parts > 1:
+            d = d.withColumn("_part", F.pmod(F.xxhash64(place), F.lit(parts))).groupBy(*keys, "_part").agg(fold.alias("v"))
+            parts, place = -(-parts // PART), F.col("_part")
+        return d.groupBy(*keys).agg(fold.alias("v"))
 
     @staticmethod
     def custom(name: str, op: BinaryOp, identity: float | int) -> Monoid:
-        """Any associative operator. Its aggregate gathers a group's values first, so groups must be of bounded size."""
-        return Monoid(name, op, identity, lambda c: F.reduce(F.collect_list(c), F.lit(identity).cast("double"), lambda x, y: op(x, y).cast("double")))
+        """Any associative and commutative operator."""
+        return Monoid(name, op, identity, own=True)
 
 
 MONOID = {

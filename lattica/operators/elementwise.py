@@ -54,7 +54,8 @@ def ewise_add(u, v, op: Semiring | Monoid | BinaryOp, identity=None, mask=None,
     """
     _given(u, v)
     monoid = op.add if isinstance(op, Semiring) else op if isinstance(op, Monoid) else None
-    f, zero = _op(op, "add"), identity if identity is not None else monoid.identity if monoid else 0
+    kind = dict(u.df.dtypes)["v"]
+    f, zero = _op(op, "add"), identity if identity is not None else monoid.identity_of(kind) if monoid else 0
     keys = ("i", "j") if isinstance(u, Matrix) else ("i",)
     if isinstance(v, (Vector, Matrix)):
         _check(u, v)

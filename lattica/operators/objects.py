@@ -65,7 +65,7 @@ def combine(df: DataFrame, keys: tuple[str, ...], dup: Monoid | BinaryOp | None)
         if dup.name not in named:
             raise InvalidValue(f"{dup.name} can't combine duplicates")
         dup = MONOID[named[dup.name]]
-    return df.groupBy(*keys).agg(dup.aggregate(F.col("v")).alias("v"))
+    return dup.over(df, keys, F.col("v"))
 
 
 @dataclass(frozen=True)

@@ -19,11 +19,14 @@ def masked(df: DataFrame, mask: Vector | Matrix | None, keys: tuple[str, ...], d
 def write(t: DataFrame, keys: tuple[str, ...], old: DataFrame | None, mask, accum: BinaryOp | None, desc: Descriptor) -> DataFrame:
     """t already holds only what the mask lets through.
 
-    Without accum t is the result. With accum old entries that t lacks stay, and where
-    both have one, accum(old, new) is stored; replace drops old entries outside the mask.
+    Without accum t takes the place of what the mask lets through, and old entries outside the mask stay. With
+    accum old entries that t lacks stay too, and where both have one, accum(old, new) is
+    stored. replace drops old entries outside the mask.
     """
-    if accum is None or old is None:
+    if old is None or (accum is None and (mask is None or desc.replace)):
         return t
+    if accum is None:
+        return masked(old.select(*keys, "v"), mask, keys, desc.toggle("complement")).unionByName(t.select(*keys, "v"))
     if desc.replace:
         old = masked(old, mask, keys, desc)
     both = old.select(*keys, F.col("v").alias("_old")).join(t.select(*keys, F.col("v").alias("_new")), list(keys), "full_outer")

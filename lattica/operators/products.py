@@ -1,7 +1,7 @@
 """Products over a semiring: joins followed by an aggregate.
 
 Masks act on the output key before the aggregate, so what they rule out is neither
-shuffled for it nor summed. Partial aggregation comes before the shuffle in any case.
+shuffled for it nor summed; a product of matrices under a mask starts from the mask. Partial aggregation comes before the shuffle in any case.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def _product(A: Matrix, u: Vector, inner: str, outer: str, semiring: Semiring, f
     e = A.df.select(F.col(inner).alias("_k"), F.col(outer).alias("i"), F.col("v").alias("_a"))
     p = masked(e, mask, ("i",), desc).join(_hinted(right, desc.mode), "_k")
     term: Column = semiring.mul(F.col("_u"), F.col("_a")) if flipped else semiring.mul(F.col("_a"), F.col("_u"))
-    t = p.groupBy("i").agg(semiring.add.aggregate(term).alias("v"))
+    t = semiring.add.over(p, ("i",), term)
     return Vector(write(t, ("i",), w.df if w else None, mask, accum, desc), size)
 
 
@@ -80,11 +80,14 @@ def mxm(A: Matrix, B: Matrix, semiring: Semiring, mask: Matrix | None = None, ac
         _same("mask columns", mask.ncols, b.ncols)
     left = a.df.select("i", F.col("j").alias("_k"), F.col("v").alias("_a"))
     right = b.df.select(F.col("i").alias("_k"), "j", F.col("v").alias("_b"))
-    p = masked(left.join(right, "_k"), mask, ("i", "j"), desc)
-    t = p.groupBy("i", "j").agg(semiring.add.aggregate(semiring.mul(F.col("_a"), F.col("_b"))).alias("v"))
+    if mask is None or desc.complement:
+        p = masked(left.join(right, "_k"), mask, ("i", "j"), desc)
+    else:  # from the mask's entries to A's row, then to B's entry: terms that the mask rules out are never made
+        p = mask.true_indices().join(left, "i").join(right, ["_k", "j"])
+    t = semiring.add.over(p, ("i", "j"), semiring.mul(F.col("_a"), F.col("_b")))
     if mask is not None and keep_pattern and not desc.complement and accum is None:
         kind = dict(t.dtypes)["v"]
-        t = mask.df.select("i", "j").join(t, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(semiring.add.identity).cast(kind)).alias("v"))
+        t = mask.df.select("i", "j").join(t, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(semiring.add.identity_of(kind)).cast(kind)).alias("v"))
     return Matrix(write(t, ("i", "j"), C.df if C else None, mask, accum, desc), a.nrows, b.ncols)
 
 
@@ -98,7 +101,7 @@ def trace_mxm_transpose_df(semiring: Semiring, A: Matrix, B: Matrix) -> DataFram
     _same("rows", A.nrows, B.nrows)
     _same("columns", A.ncols, B.ncols)
     p = A.df.select("i", "j", F.col("v").alias("_a")).join(B.df.select("i", "j", F.col("v").alias("_b")), ["i", "j"])
-    return p.agg(semiring.add.aggregate(semiring.mul(F.col("_a"), F.col("_b"))).alias("v"))
+    return semiring.add.over(p, (), semiring.mul(F.col("_a"), F.col("_b")))
 
 
 def trace_mxm_df(semiring: Semiring, A: Matrix, B: Matrix) -> DataFrame:

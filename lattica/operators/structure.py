@@ -16,15 +16,15 @@ def reduce_rows(A: Matrix, monoid: Monoid, mask: Vector | None = None, accum: Bi
     """For each row the monoid over its entries; dense: rows without entries get the identity. tran0 reduces columns."""
     _given(A)
     a = A.T if desc.tran0 else A
-    t = masked(a.df, mask, ("i",), desc).groupBy("i").agg(monoid.aggregate(F.col("v")).alias("v"))
+    t = monoid.over(masked(a.df, mask, ("i",), desc), ("i",), F.col("v"))
     out = Vector(write(t, ("i",), w.df if w else None, mask, accum, desc), a.nrows)
-    return out.to_dense(monoid.identity) if dense and mask is None and accum is None else out
+    return out.to_dense(monoid.identity_of(dict(out.df.dtypes)["v"])) if dense and mask is None and accum is None else out
 
 
 def reduce_df(x: Vector | Matrix, monoid: Monoid) -> DataFrame:
     """One row with the monoid over all entries, its identity if there are none."""
     _given(x)
-    return x.df.agg(monoid.aggregate(F.col("v")).alias("v"))
+    return monoid.over(x.df, (), F.col("v"))
 
 
 def reduce_scalar(x: Vector | Matrix, monoid: Monoid, accum: BinaryOp | None = None, value=None):

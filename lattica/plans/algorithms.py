@@ -6,6 +6,8 @@ never the edges. State is one row per vertex.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +15,13 @@ from lattica.errors import DimensionMismatch, IndexOutOfBounds, InvalidValue
 from lattica.functions.algebra import INFINITY, MONOID, SEMIRING, hash_weight
 from lattica.operators.objects import Matrix, Vector
 from lattica.operators.products import mxm
-from lattica.operators.structure import reduce_df, tril
+from lattica.operators.structure import reduce_df
 from lattica.plans.fixpoint import Stats, iterate
 from lattica.store import bucketed, cut
 
 MAX_ROUNDS = 10_000
+#: Levels that are kept apart before they are written together.
+PARTS = 16
 
 
 def _square(A: Matrix) -> None:
@@ -38,21 +42,22 @@ def _edges(A: Matrix, name: str) -> DataFrame:
 def _levels(edges: DataFrame, sources: DataFrame, max_rounds: int, stats: Stats | None) -> DataFrame:
     """(src, i, d): hops from each source, counted from 1. All sources advance in one loop."""
     start = sources.select(F.col("i").alias("src"), "i", F.lit(1).cast("long").alias("d"))
-
-    def step(state: DataFrame, k: int) -> DataFrame:
-        front = state.where(F.col("d") == k)
+    front, seen = cut(start, "levels")
+    visited, parts, n = front, 1, seen["n"]
+    for k in range(1, max_rounds + 1):  # a round writes its new vertices, no others
+        begun = time.time()
         near = front.join(edges.select("i", "j"), "i").select("src", F.col("j").alias("i")).distinct()
-        fresh = near.join(state, ["src", "i"], "left_anti").select("src", "i", F.lit(k + 1).cast("long").alias("d"))
-        return state.unionByName(fresh)
-
-    first, seen = cut(start, "levels")
-    size = {"n": seen["n"]}
-
-    def done(new: dict) -> bool:
-        grew, size["n"] = new["n"] > size["n"], new["n"]
-        return not grew
-
-    return iterate(first, step, done, "levels", max_rounds, stats=stats)
+        fresh = near.join(visited.select("src", "i"), ["src", "i"], "left_anti").select("src", "i", F.lit(k + 1).cast("long").alias("d"))
+        front, seen = cut(fresh, "levels")
+        n += seen["n"]
+        if stats:
+            stats.rounds.append((k, n, time.time() - begun))
+        if not seen["n"]:
+            break
+        visited, parts = visited.unionByName(front), parts + 1
+        if parts == PARTS:
+            visited, parts = cut(visited, "levels")[0], 1
+    return visited
 
 
 def bfs(A: Matrix, source: int, max_rounds: int = MAX_ROUNDS, stats: Stats | None = None) -> Vector:
@@ -155,9 +160,18 @@ def connected_components(A: Matrix, max_rounds: int = MAX_ROUNDS, stats: Stats |
 
 
 def triangle_count_df(A: Matrix) -> DataFrame:
-    """One row (v): triangles of an undirected graph given in both directions, by the masked product L<L> = L Lt of the lower triangle."""
+    """One row (v): triangles of an undirected graph given in both directions, by the masked product L<L> = L Lt.
+
+    L has each edge once, from the end with fewer neighbours to the one with more, by index if they have as many. So no
+    row of L has more than the square root of twice the edges, whatever the hubs.
+    """
     _square(A)
-    L = Matrix(tril(A).df.where("i > j").select("i", "j", F.lit(1).cast("long").alias("v")), A.nrows, A.ncols)
+    e = A.df.where("i <> j").select("i", "j")
+    degree = e.groupBy("i").agg(F.count("*").alias("d"))
+    ends = e.where("i < j").join(degree, "i").withColumnRenamed("d", "di").join(degree.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j")
+    up = F.col("di") <= F.col("dj")
+    L, _ = cut(ends.select(F.when(up, F.col("i")).otherwise(F.col("j")).alias("i"), F.when(up, F.col("j")).otherwise(F.col("i")).alias("j"), F.lit(1).cast("long").alias("v")), "oriented")
+    L = Matrix(L, A.nrows, A.ncols)
     closed = mxm(L, L.T, SEMIRING["plus_times"], mask=L, keep_pattern=False)
     return reduce_df(closed, MONOID["plus"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.algebra import BINARY, INFINITY, MONOID, SEMIRING, UnaryOp
+from lattica.functions.algebra import BINARY, INFINITY, LARGEST, MONOID, SEMIRING, BinaryOp, Monoid, UnaryOp
 from lattica.operators import elementwise as ew
 from lattica.operators import products as pr
 from lattica.operators import structure as st
@@ -202,6 +202,47 @@ def _(spark, sf):
     return pr.mxv(g.ps(spark, sf), g.sm(spark, sf), SEMIRING["plus_times"], mask=g.pm(spark, sf), accum=BINARY["plus"], w=g.pv(spark, sf), desc=Descriptor(replace=True))
 
 
+@query("mxv_masked_keeps", "ps pv pm sm", f"{_MXV_T} SELECT i, v FROM t UNION ALL SELECT i, v FROM pv WHERE i NOT IN (SELECT i FROM pm WHERE v <> 0)")
+def _(spark, sf):
+    return pr.mxv(g.ps(spark, sf), g.sm(spark, sf), SEMIRING["plus_times"], mask=g.pm(spark, sf), w=g.pv(spark, sf))
+
+
+@query("mxv_masked_replaces", "ps pv pm sm", f"{_MXV_T} SELECT i, v FROM t")
+def _(spark, sf):
+    return pr.mxv(g.ps(spark, sf), g.sm(spark, sf), SEMIRING["plus_times"], mask=g.pm(spark, sf), w=g.pv(spark, sf), desc=Descriptor().toggle("replace"))
+
+
+@query("mxv_masked_complement_keeps", "ps pv pm sm", "t AS (SELECT a.i, CAST(sum(a.v * s.v) AS BIGINT) AS v FROM ps a JOIN sm s ON s.i = a.j WHERE a.i NOT IN (SELECT i FROM pm WHERE v <> 0) GROUP BY a.i) SELECT i, v FROM t UNION ALL SELECT i, v FROM pv WHERE i IN (SELECT i FROM pm WHERE v <> 0)")
+def _(spark, sf):
+    return pr.mxv(g.ps(spark, sf), g.sm(spark, sf), SEMIRING["plus_times"], mask=g.pm(spark, sf), w=g.pv(spark, sf), desc=COMPLEMENT.toggle("replace").toggle("replace"))
+
+
+@query("reduce_row_custom", "ps", "SELECT i, max(v) AS v FROM ps GROUP BY i")
+def _(spark, sf):
+    return st.reduce_rows(g.ps(spark, sf), Monoid.custom("largest", BINARY["maximum"], 0), dense=False)
+
+
+@query("reduce_mat_custom", "ps", "SELECT bit_xor(v) AS v FROM ps")
+def _(spark, sf):
+    return st.reduce_df(g.ps(spark, sf), Monoid.custom("parity", BinaryOp("xor", lambda a, b: a.bitwiseXOR(b)), 0))
+
+
+@query("reduce_row_accum", "ps pv", "r AS (SELECT i, CAST(sum(v) AS BIGINT) AS v FROM ps GROUP BY i) SELECT coalesce(p.i, r.i) AS i, CASE WHEN p.v IS NULL THEN r.v WHEN r.v IS NULL THEN p.v ELSE least(p.v, r.v) END AS v FROM pv p FULL JOIN r ON p.i = r.i")
+def _(spark, sf):
+    return st.reduce_rows(g.ps(spark, sf), MONOID["plus"], accum=BINARY["minimum"], w=g.pv(spark, sf))
+
+
+@query("apply_masked_accum", "pv pm", "SELECT i, CASE WHEN i IN (SELECT i FROM pm WHERE v <> 0) THEN v + 2 * v ELSE v END AS v FROM pv")
+def _(spark, sf):
+    v = g.pv(spark, sf)
+    return ew.apply(UnaryOp("double", lambda c: 2 * c), v, mask=g.pm(spark, sf), accum=BINARY["plus"], w=v)
+
+
+@query("transpose_accum", "ps ps2", "SELECT a.j AS i, a.i AS j, CAST(a.v + coalesce(b.v, 0) AS BIGINT) AS v FROM ps a LEFT JOIN ps2 b ON a.i = b.i AND a.j = b.j")
+def _(spark, sf):
+    return st.transpose(g.ps(spark, sf), accum=BINARY["plus"], C=g.ps2(spark, sf).T)
+
+
 @query("mxm_plus_times", "hi", "SELECT a.i, b.j, count(*) AS v FROM hi a JOIN hi b ON a.j = b.i GROUP BY 1, 2")
 def _(spark, sf):
     a = g.hi(spark, sf)
@@ -306,6 +347,21 @@ def _(spark, sf):
     return ew.ewise_add(g.pv(spark, sf), g.pm(spark, sf), SEMIRING["custom_less_plus"])
 
 
+@query("ewise_add_greater_plus", "pv pm", f"SELECT i, CAST(a.v > coalesce(b.v, 0) AS BIGINT) AS v FROM pv a LEFT JOIN pm b USING (i)")
+def _(spark, sf):
+    return ew.ewise_add(g.pv(spark, sf), g.pm(spark, sf), SEMIRING["greater_plus"])
+
+
+@query("ewise_add_not_equal_plus", "pv pm", f"SELECT i, CAST(a.v <> coalesce(b.v, {INFINITY!r}) AS BIGINT) AS v FROM pv a LEFT JOIN pm b USING (i)")
+def _(spark, sf):
+    return ew.ewise_add(g.pv(spark, sf), g.pm(spark, sf), SEMIRING["not_equal_plus"])
+
+
+@query("ewise_add_custom_less_less", "pv pm", f"SELECT i, CAST(a.v < coalesce(b.v, {INFINITY!r}) AS BIGINT) AS v FROM pv a LEFT JOIN pm b USING (i)")
+def _(spark, sf):
+    return ew.ewise_add(g.pv(spark, sf), g.pm(spark, sf), SEMIRING["custom_less_less"])
+
+
 _BIN = {
     "logical_or": "a.v <> 0 OR b.v <> 0", "logical_and": "a.v <> 0 AND b.v <> 0", "logical_xor": "(a.v <> 0) <> (b.v <> 0)", "equal": "a.v = b.v", "not_equal_to": "a.v <> b.v",
     "greater": "a.v > b.v", "less": "a.v < b.v", "greater_equal": "a.v >= b.v", "less_equal": "a.v <= b.v", "first": "a.v", "second": "b.v", "minimum": "least(a.v, b.v)", "maximum": "greatest(a.v, b.v)", "minus": "a.v - b.v",
@@ -323,12 +379,12 @@ def _(spark, sf):
 # Reductions
 
 _RED = {"plus": "sum(v)", "times": "round(ln(product(v)), 6)", "min": "min(v)", "max": "greatest(0, max(v))", "or": "max((v <> 0)::INT)", "and": "min((v <> 0)::INT)"}
-_NONE = {"plus": "0", "times": "0.0", "min": "NULL", "max": "0", "or": "0", "and": "1"}
+_NONE = {"plus": "0", "times": "0.0", "min": str(LARGEST), "max": "0", "or": "0", "and": "1"}
 _MON = {"plus": "plus", "times": "multiplies", "min": "minimum", "max": "maximum", "or": "logical_or", "and": "logical_and"}
 
 
 def _shown(df: DataFrame, kind: str) -> DataFrame:
-    """Products are shown as logarithms, all else as integers; the minimum of nothing, which no integer is, as null."""
+    """Products are shown as logarithms, all else as integers."""
     return df.withColumn("v", F.round(F.log("v"), 6) if kind == "times" else F.col("v").try_cast("long"))
 
 

@@ -1,13 +1,16 @@
 """Operators, objects, files and algorithms on small graphs, against plain loops."""
 
+import functools
 import heapq
 import itertools
+import operator
 import random
 from collections import defaultdict
 
 import pytest
 
 from lattica import errors
+from lattica.functions import algebra
 from lattica.functions.algebra import BINARY, MONOID, SEMIRING, UNARY
 from lattica.operators.elementwise import apply, ewise_add, ewise_mult, scale
 from lattica.operators.objects import Descriptor, Matrix, Vector
@@ -270,3 +273,36 @@ def test_local_clustering(spark):
         front = {x for x in r if near[x] and r[x] >= len(near[x]) * eps}
     got = dict(alg.local_clustering(graph(spark, edges, 20), 0, alpha, eps, 5).extract_tuples())
     assert {k: pytest.approx(v) for k, v in p.items() if v} == {k: v for k, v in got.items() if v}
+
+
+def test_output_under_a_mask(spark):
+    """Without an accumulator old entries outside the mask stay, unless they are to be replaced."""
+    A = Matrix.build(spark, [0, 1, 2], [0, 1, 2], [1, 1, 1], 3, 3)
+    u, w, mask = Vector.build_dense(spark, [5, 6, 7]), Vector.build_dense(spark, [100, 200, 300]), Vector.build(spark, [0], [1], 3)
+    call = lambda **k: mxv(A, u, SEMIRING["plus_times"], mask=mask, w=w, desc=Descriptor(**k)).extract_tuples()
+    assert call() == [(0, 5), (1, 200), (2, 300)]
+    assert call(replace=True) == [(0, 5)]
+    assert call(complement=True) == [(0, 100), (1, 6), (2, 7)]
+    assert call(complement=True, replace=True) == [(1, 6), (2, 7)]
+
+
+def test_integers_keep_their_digits(spark):
+    big = 9007199254740993
+    v = Vector.build(spark, [0, 1], [big, big + 2], 3)
+    assert reduce_scalar(v, MONOID["minimum"]) == big
+    assert dict(reduce_rows(Matrix.build(spark, [0, 0], [0, 1], [big, big + 2], 2, 2), MONOID["minimum"]).df.dtypes)["v"] == "bigint"
+    assert reduce_scalar(Vector.new(spark, 3, "long"), MONOID["minimum"]) == (1 << 63) - 1
+
+
+@pytest.mark.parametrize("part", [2, 7, 1024])
+def test_monoid_of_the_caller(spark, monkeypatch, part):
+    monkeypatch.setattr(algebra, "PART", part)
+    rows = [i % 3 if i % 5 else 4 for i in range(300)]
+    A = Matrix.of(spark.createDataFrame([(r, i, i * i + 1) for i, r in enumerate(rows)], "i long, j long, v long"), 5, 300)
+    xor = algebra.Monoid.custom("xor", algebra.BinaryOp("xor", lambda a, b: a.bitwiseXOR(b)), 0)
+    want = {}
+    for i, r in enumerate(rows):
+        want[r] = want.get(r, 0) ^ (i * i + 1)
+    assert reduce_rows(A, xor, dense=False).extract_tuples() == sorted(want.items())
+    assert reduce_scalar(A, xor) == functools.reduce(operator.xor, want.values())
+    assert reduce_scalar(A.clear(), xor) == 0
