@@ -45,7 +45,7 @@ SHARD_BYTES = 48 << 20
 PROBES = 7
 #: Bytes of text that are encoded at a time, about.
 PORTION = 4 << 20
-#: Pieces met first, which the most common ones are among, whose ids a worker remembers at most, and the longest it remembers.
+#: Pieces met first, which the most common ones are among, whose ids a worker remembers at most, some 200 bytes each, and the longest it remembers.
 REMEMBERED, LONG_PIECE = 250_000, 64
 
 
@@ -195,9 +195,11 @@ class Encoder:
     spell an added token, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
+
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -236,7 +238,7 @@ class Encoder:
             part = new[at : at + 20_000]
             for i, v in zip(part, self.whole([own[i] for i in part]), strict=True):
                 found[i] = v
-                if len(self.known) < REMEMBERED and len(own[i]) <= LONG_PIECE:
+                if len(self.known) < self.remembered and len(own[i]) <= LONG_PIECE:
                     self.known[own[i]] = v
         codes = coded.indices.to_numpy()
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
@@ -256,11 +258,12 @@ _BEFORE = re.compile(r"(?= \S)")
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One for each worker and tokenizer file."""
     one_thread()
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].remembered = remembered
     return _encoders[path]
 
 
@@ -282,14 +285,14 @@ def tokenizer_path(name: str) -> str:
 MANIFEST = "part int, seq int, uri string, docs long, tokens long"
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int | None = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int | None = 2, shard_bytes: int = SHARD_BYTES, remembered: int = REMEMBERED) -> DataFrame:
     """Encode docs (doc_id, text; other columns are ignored) into shards under folder, in ascending doc_id order.
 
     Returns the manifest, a row per shard; (part, seq) orders the shards. Null texts
     are empty; end_id is added to each document. Rows with equal doc_id keep a place each,
     ordered by their text's hash, and a doc_id that many rows share is dealt over several
     tasks. A task that runs again writes files of other names; only those
-    in the manifest count.
+    in the manifest count. An empty table gives no shards. remembered: pieces whose ids a worker keeps, memory for time.
     """
     spark = docs.sparkSession
     small_batches(spark, 1000)
@@ -301,7 +304,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
 
         from pyspark import TaskContext
 
-        enc, part, seq = encoder(tokenizer_path(tokenizer)), TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder(tokenizer_path(tokenizer), remembered), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.array([end_id], f"<u{enc.width}").tobytes()
         shard = ShardWriter(enc.width)
 
@@ -343,7 +346,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def op2_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_shards(write_shards(table(spark, sf_dir, "documents"), scratch(spark, "sst")))
+    """All documents in shards, read back; a query by itself has memory to remember more pieces than a stage of the pipeline."""
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), scratch(spark, "sst"), remembered=4 * REMEMBERED))
 
 
 QUERIES = {"op2_sst": op2_sst}
