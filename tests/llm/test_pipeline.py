@@ -8,6 +8,8 @@ import duckdb
 import pytest
 from tokenizers import Tokenizer
 
+from test_jaccard import gone as all_pairs
+
 from lattica.llm import mixing, sst, toxicity
 from lattica.llm.shared import table
 
@@ -50,9 +52,8 @@ def test_toxicity(spark, small, stages):
 def test_near_duplicates(stages):
     given, gave = stages[1]
     rows = as_rows(given)
-    component = {(d, f): c for d, f, c in brute.groups([(r[0], brute.fingerprint(r[1], 5)) for r in rows])}
-    gone = {d for (d, _), c in component.items() if d > c}
-    assert gone and as_rows(gave) == Counter({k: n for k, n in rows.items() if k[0] not in gone})
+    gone, links = all_pairs([(r[0], r[1]) for r in rows])  # by the shingle sets of all pairs, as the stage links them
+    assert gone and links and as_rows(gave) == Counter({k: n for k, n in rows.items() if k[0] not in gone})
 
 
 def test_benchmarks(spark, small, stages):
