@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.chunks import Answers, Chunk, _u, ask, bucket_count, covered, distinct, each_chunk, mix, received_bits, send_keys, solve_shared, white, write_chunks
-from lattica.llm.shared import table
+from lattica.llm.shared import WORD, table
 
 ROUNDS = 4
 #: Words that a symbol stands for at least to be asked about.
@@ -174,4 +174,13 @@ def op9_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_recompress": op9_recompress}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_recompress": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+n AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS n FROM s),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM n WHERE n > 1),
+k AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+t AS (SELECT k.r, string_agg(word, ' ' ORDER BY k.p) AS kept, count(*) AS n FROM k LEFT JOIN g ON g.r = k.r AND g.p = k.p WHERE g.p IS NULL GROUP BY k.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.r = d.r"""
+}
