@@ -1,4 +1,4 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands find candidates, exact shingle sets verify them."""
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash balls and, beyond their reach, MinHash bands find candidates, exact shingle sets verify them."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.components import components
 from lattica.llm.shared import fits, fresh, join_hot, lean, materialize, partitions, small_batches
+from lattica.llm.simhash import bit_counts, majority, simhash_links
 
 #: Bands of so many rows each: two sets of similarity s share none with chance (1 - s^5)^32, 3e-6 at 0.8.
 BANDS, ROWS = 32, 5
@@ -28,28 +29,55 @@ _SKETCH = np.random.default_rng(44).integers(0, 1 << 32, (3, SKETCH, 1), np.uint
 _BAND = np.random.default_rng(43).integers(0, 1 << 64, (2, BANDS, 1), np.uint64) | np.array([[[0]], [[1]]], np.uint64)
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """The 64-bit hashes of the distinct word shingles of a text, ascending; words and short texts as in simhash.fingerprint."""
+def shingle_hashes(text: str | None, words: int = 5) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of the word shingles of a text, repeats included, a bounded block at a time; words and short texts as in simhash.fingerprint."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    h, n, parts = xxhash.xxh64_intdigest, max(1, len(w) - words + 1), []
+    h, n = xxhash.xxh64_intdigest, max(1, len(w) - words + 1) if w else 0
     for at in range(0, n, _BLOCK):
         part = w[at : at + _BLOCK + words - 1]
         found = map(b" ".join, zip(*(part[i:] for i in range(words)), strict=False)) if len(part) >= words else [b" ".join(part)]
-        parts.append(np.unique(np.fromiter(map(h, found), np.uint64)))
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        yield np.fromiter(map(h, found), np.uint64)
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct hashes of the word shingles of a text, ascending."""
+    return _distinct([np.unique(x) for x in shingle_hashes(text, words)])
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
+
+
+def set_and_fingerprint(text: str | None, words: int = 5) -> tuple[np.ndarray, int]:
+    """shingles() of a text and its SimHash, simhash.fingerprint with seed 0, from the same hashes."""
+    parts, ones, n = [], np.zeros(64, np.int64), 0
+    for x in shingle_hashes(text, words):
+        parts.append(np.unique(x))
+        ones += bit_counts(x)
+        n += len(x)
+    return _distinct(parts), majority(ones, n)
 
 
 def minima(own: np.ndarray) -> np.ndarray:
     """The MinHash rows of a set of hashes."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    add, by, again = _CONSTANTS
-    for at in range(0, len(own), 512):  # a bounded block, however long the text
-        x = (own[at : at + 512] ^ add) * by
-        x ^= x >> np.uint64(29)
-        x *= again
-        np.minimum(low, x.min(axis=1), out=low)
+    return _least(own, _CONSTANTS, 29)
+
+
+def _least(own: np.ndarray, constants: np.ndarray, shift: int) -> np.ndarray:
+    """The least of each of several hashes of the elements; each hash is (x ^ add) * by, its high bits folded in, * again."""
+    add, by, again = constants[:, :, 0]
+    low = np.full(len(add), np.iinfo(own.dtype).max, own.dtype)
+    # a row for each element, so that minima are of whole rows; a bounded block, however long the text
+    room = np.empty((2, min(len(own), 256), len(add)), own.dtype)
+    for at in range(0, len(own), 256):
+        part = own[at : at + 256, None]
+        x, high = room[:, : len(part)]
+        np.bitwise_xor(part, add, out=x)
+        np.multiply(x, by, out=x)
+        np.right_shift(x, own.dtype.type(shift), out=high)
+        np.bitwise_xor(x, high, out=x)
+        np.multiply(x, again, out=x)
+        np.minimum(low, x.min(axis=0), out=low)
     return low
 
 
@@ -65,14 +93,7 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 def sketch(own: np.ndarray) -> np.ndarray:
     """Four bits of each of SKETCH MinHash rows of a set of hashes, 16 of them in a long."""
-    low = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
-    add, by, again = _SKETCH
-    high = (own >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(high), 512):
-        x = (high[at : at + 512] ^ add) * by
-        x ^= x >> np.uint32(15)
-        x *= again
-        np.minimum(low, x.min(axis=1), out=low)
+    low = _least((own >> np.uint64(32)).astype(np.uint32), _SKETCH, 15)
     # the high bits of a product are its best, and a minimum's highest are 0
     four = ((low * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint8)
     return (four[::2] | four[1::2] << np.uint8(4)).view("<i8")
@@ -90,20 +111,30 @@ def agreeing(a: Column, b: Column) -> Column:
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, key, n, bands, sketch) of the rows with a doc_id: a 128-bit hash of the shingle set, its size, its bands and sketch; texts without words have no bands."""
+    """(doc_id, key, n, fp, bands, sketch) of the rows with a doc_id: a 128-bit hash of the shingle set, its size, the SimHash, the set's bands and sketch; texts without words have no bands."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(x.as_py(), words) for x in b.column(1)]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            lows = [minima(s) if len(s) else None for s in sets]
-            found, sketches = [[] if x is None else bands(x).view(np.int64) for x in lows], [sketch(s) if len(s) else [] for s in sets]
-            longs = pa.list_(pa.int64())
-            arrays = [b.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, longs), pa.array(sketches, longs)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "bands", "sketch"])
+            rows = []
+            for x in b.column(1):  # one set at a time is held
+                own, fp = set_and_fingerprint(x.as_py(), words)
+                some = len(own) > 0
+                rows.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), fp - (fp >> 63 << 64), bands(minima(own)).view(np.int64) if some else [], sketch(own) if some else []))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            arrays = [b.column(0), *(pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "fp", "bands", "sketch"])
+
+    return _ids_and_texts(docs).mapInArrow(lean(run), "doc_id long, key binary, n long, fp long, bands array<long>, sketch array<long>")
+
 
-    return _ids_and_texts(docs).mapInArrow(lean(run), "doc_id long, key binary, n long, bands array<long>, sketch array<long>")
+def ball_pairs(reps: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a, b), a < b, of representatives (rep, fp) whose fingerprints are within the radius: of equal fingerprints each
+    with the smallest representative, of others as simhash_links gives them, so components are those of all pairs within the radius."""
+    first = materialize(reps.groupBy("fp").agg(F.min("rep").alias("first"), F.count("*").alias("m")), "jaccard-fingerprints")
+    equal = join_hot(reps.select("fp", "rep"), first.where("m > 1"), ["fp"], "m").where("rep > first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    return simhash_links(first.select("fp", F.col("first").alias("rep")), radius).unionByName(equal)
 
 
 def _ids_and_texts(docs: DataFrame) -> DataFrame:
@@ -145,16 +176,17 @@ def _with_sets(df: DataFrame, pairs: DataFrame, sets: DataFrame, side: str) -> D
 def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """(doc_id, component_id) of the rows with a doc_id; component_id is the smallest doc_id reachable over links of similarity num/den or more.
 
-    Equal shingle sets enter the search once. Sets that share a band meet in its bucket. First each
+    Equal shingle sets enter the search once. Those whose SimHash fingerprints are within 2 bits meet in a ball
+    (simhash.simhash_links); most pairs at the threshold differ in more, so sets that share a band meet in its bucket too. First each
     is compared with one centre of its bucket, and buckets within one component are done; then
-    every other pair of a bucket that is not in one component yet is compared, by sketches first and by
+    every other pair of a bucket or ball that is not in one component yet is compared, by sketches first and by
     their sets if the sketches agree. No pair that meets is left out: it is in one component already, or its
     sketches are too far apart, or it is verified.
     """
     spark = docs.sparkSession
     num, den = threshold
     own = materialize(signatures(docs, words), "jaccard")
-    reps = materialize(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "jaccard-reps")
+    reps = materialize(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "jaccard-reps")
     # sketches join only what meets: most rows are alone in their bands
     rows = reps.select("rep", "n", F.explode("bands").alias("band")).repartition(2 * partitions(spark), "band")
     often = materialize(rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "jaccard-bands")
@@ -186,7 +218,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     first = F.coalesce(*(F.when(F.get("bands_x", F.lit(k)) == F.get("bands_y", F.lit(k)), F.get("bands_x", F.lit(k))) for k in range(BANDS)))
     on = on & (first == F.col("x.band"))
     left = x.alias("x").join(y.alias("y"), on).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
-    left = materialize(left.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    # and what meets in a ball; lists of pairs first, as sketches are wide
+    balls = ball_pairs(reps.where("n > 0"))
+    for k in "ab":
+        balls = balls.join(fits(named).select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")), k, "left")
+    balls = materialize(balls.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b").distinct(), "jaccard-balls")
+    lows = balls.groupBy("a").agg(F.count("*").alias("m")).join(reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+    balls = join_hot(balls, materialize(lows, "jaccard-lows"), ["a"], "m").join(reps.select(F.col("rep").alias("b"), "n", "sketch"), "b")
+    balls = balls.where(alike("n_a", "n")).where(agreeing(F.col("sketch_a"), F.col("sketch")) >= AGREE).select("a", "b")
+    left = materialize(left.unionByName(balls).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = materialize(_similar(left, docs, reps, words, threshold), "jaccard-links")
     if more.limit(1).count():
         named = components(links.unionByName(more))

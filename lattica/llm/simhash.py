@@ -14,6 +14,7 @@ from lattica.llm.components import components
 from lattica.llm.shared import fits, fresh, join_hot, lean, materialize, partitions, small_batches, table
 
 _BLOCK = 1 << 15
+_SHIFTS, _LANES = np.arange(8, dtype=np.uint64)[:, None], np.uint64(0x0101010101010101)
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -36,9 +37,21 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
             hashes = [h(b"%b %b %b" % x, seed) for x in zip(part, part[1:], part[2:], strict=False)]
         else:
             hashes = [h(b" ".join(x), seed) for x in zip(*(part[i:] for i in range(words)), strict=False)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for i in range(0, len(bits), 255):  # sums of 255 bits fit a byte
-            ones += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
+        ones += bit_counts(np.array(hashes, "<u8"))
+    return majority(ones, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of 64-bit hashes have each bit, the lowest first."""
+    if not len(hashes):
+        return np.zeros(64, np.int64)
+    # bit k of each byte, for each k; sums of 255 of them fit their bytes
+    lanes = np.add.reduceat((hashes >> _SHIFTS) & _LANES, np.arange(0, len(hashes), 255), axis=1)
+    return lanes.astype("<u8").view(np.uint8).reshape(8, -1, 8).sum(axis=1, dtype=np.int64).T.ravel()
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes have."""
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import jaccard
+from lattica.llm import jaccard, simhash
 from lattica.llm.shared import table
 
 
@@ -122,3 +122,42 @@ def test_recall_of_sketches():
             a, b = (jaccard.sketch(x).view(np.uint8) for x in (h[: 9 * n // 5], h[n // 5 :]))
             agree.append((a & 15 == b & 15).sum() + (a >> 4 == b >> 4).sum())
     assert sum(x < jaccard.AGREE for x in agree) <= 1 and abs(np.mean(agree) - 0.8125 * jaccard.SKETCH) < 1
+
+
+def test_fingerprints_are_simhash():
+    for text in (None, "", " \t", "a b", "A b c d e", "x y z " * 400, "w" + " é ü" * 40_000):
+        own, fp = jaccard.set_and_fingerprint(text)
+        assert fp == simhash.fingerprint(text, 5, 0) and (own == jaccard.shingles(text)).all()
+
+
+def test_balls(spark):
+    """Components of the pairs that balls give are those of all pairs at 2 bits or fewer, and no pair is further apart."""
+    rng, fps = random.Random(12), []
+    for _ in range(60):
+        x = rng.getrandbits(64)
+        fps += [x, x, x ^ 1 << rng.randrange(64), x ^ (1 << rng.randrange(32) | 1 << rng.randrange(32, 64)), x ^ 0b1011 << rng.randrange(60)]
+    reps = spark.createDataFrame([(i, x - (x >> 63 << 64)) for i, x in enumerate(fps)], "rep long, fp long")
+    near = [(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    got = [tuple(r) for r in jaccard.ball_pairs(reps).collect()]
+    assert set(got) <= set(near)
+    assert components_of(got) == components_of(near)
+
+
+def components_of(pairs):
+    low = {x: x for p in pairs for x in p}
+    for _ in low:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+def test_stage_links_by_simhash(spark, small, monkeypatch):
+    """With no two sets in one band, the stage still drops near copies whose fingerprints are within 2 bits, and only near copies."""
+    signatures = jaccard.signatures
+    monkeypatch.setattr(jaccard, "signatures", lambda *a: signatures(*a).withColumn("bands", F.expr("transform(bands, (x, i) -> xxhash64(doc_id, i))")))
+    rng, docs = random.Random(13), []
+    for i in range(80):
+        w = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        docs += [(i, " ".join(w)), (1000 + i, replaced(w, 1, rng))]
+    near = {1000 + i for i in range(80) if (simhash.fingerprint(docs[2 * i][1], 5, 0) ^ simhash.fingerprint(docs[2 * i + 1][1], 5, 0)).bit_count() <= 2}
+    assert len(near) > 20 and stage_gone(spark, docs, small) == near
