@@ -23,7 +23,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -276,6 +276,12 @@ def _portions(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
         yield b.column(0).slice(i, j - i).to_pylist(), b.column(1).slice(i, j - i).to_pylist()
 
 
+def each_once(encode: Callable[[list[str]], list[bytes]], texts: list[str]) -> Iterator[bytes]:
+    """encode(texts), with each distinct text encoded once: the mix repeats documents, and their copies stand side by side."""
+    own = list(dict.fromkeys(texts))
+    return map(dict(zip(own, encode(own), strict=True)).__getitem__, texts)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -314,7 +320,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
 
         for b in batches:
             for ids, texts in _portions(b):
-                for d, v in zip(ids, enc.encode(texts), strict=True):
+                for d, v in zip(ids, each_once(enc.encode, texts), strict=True):
                     shard.add(key_of(d), v + end)
                     if shard.size() >= shard_bytes:
                         yield close()

@@ -95,3 +95,12 @@ def test_empty_and_odd_rows(spark, small):
             docs = f(spark, docs, small)
         assert docs.columns[:1] == ["doc_id"]
         docs.collect()
+
+
+def test_copies_are_encoded_once():
+    """Stage 5 gets each document as often as the mix takes it; the tokenizer gets it once a portion."""
+    given = []
+    encode = lambda texts: given.extend(texts) or [t.encode() for t in texts]
+    texts = ["a b"] * 3 + [""] * 2 + ["c", "a b", "d"]
+    assert list(sst.each_once(encode, texts)) == [t.encode() for t in texts]
+    assert given == ["a b", "", "c", "d"] and list(sst.each_once(encode, [])) == []
