@@ -96,6 +96,29 @@ def bucket_count(manifest: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return 1 + (manifest.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes
 
 
+#: Groups of buckets from which on they get larger rather than more, and buckets of one group at most.
+GROUPS, TOGETHER = 128, 8
+
+
+def together(buckets: int) -> int:
+    """How many buckets share a row of each chunk, so that rows stay few; they are solved one by one."""
+    return max(1, min(TOGETHER, buckets // GROUPS))
+
+
+def pack(blobs: list[tuple[int, bytes]]) -> bytes:
+    numbers, sizes = [b for b, _ in blobs], [len(x) for _, x in blobs]
+    return b"".join([struct.pack(f"<I{2 * len(blobs)}I", len(blobs), *numbers, *sizes), *(x for _, x in blobs)])
+
+
+def unpack(packed: bytes) -> list[tuple[int, bytes]]:
+    n = struct.unpack_from("<I", packed)[0]
+    both, at, out = struct.unpack_from(f"<{2 * n}I", packed, 4), 4 + 8 * n, []
+    for b, size in zip(both[:n], both[n:], strict=True):
+        out.append((b, packed[at : at + size]))
+        at += size
+    return out
+
+
 Answers = list[dict[int, bytes]]
 
 
@@ -115,21 +138,44 @@ def each_chunk(manifest: DataFrame, rounds: list[DataFrame], work: Callable[[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                got = [{x["bucket"]: x["blob"] for x in b.column(2 + k)[i].as_py() or []} for k in range(n)]
+                got = [dict(y for x in b.column(2 + k)[i].as_py() or [] for y in ([(x["bucket"], x["blob"])] if x["bucket"] >= 0 else unpack(x["blob"]))) for k in range(n)]
                 yield from work(b.column(0)[i].as_py(), Chunk(read_file(b.column(1)[i].as_py())), got)
 
     return rows.mapInArrow(lean(run), schema)
 
 
-def ask(manifest: DataFrame, rounds: list[DataFrame], emit: Callable[[Chunk, Answers], Iterator[tuple[int, bytes]]], solve: Callable[[list[bytes]], list[bytes]], name: str) -> DataFrame:
-    """One round: emit() gives a chunk's (bucket, blob), solve() a bucket's answers, one for each blob."""
+def solve_group(packed: list[bytes], solve: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+    """Answers of a group of buckets, bucket by bucket, so that only one is worked on at a time."""
+    asked: dict[int, list[tuple[int, bytes]]] = {}
+    for k, x in enumerate(packed):
+        for b, blob in unpack(x):
+            asked.setdefault(b, []).append((k, blob))
+    answers: list[list[tuple[int, bytes]]] = [[] for _ in packed]
+    while asked:
+        b, rows = asked.popitem()
+        for (k, _), x in zip(rows, solve([x for _, x in rows]), strict=True):
+            answers[k].append((b, x))
+    return [pack(x) for x in answers]
+
+
+def ask(manifest: DataFrame, rounds: list[DataFrame], emit: Callable[[Chunk, Answers], Iterator[tuple[int, bytes]]], solve: Callable[[list[bytes]], list[bytes]], name: str, group: int = 1) -> DataFrame:
+    """One round: emit() gives a chunk's (bucket, blob), solve() a bucket's answers, one for each blob.
+
+    group: that many neighbouring buckets share a row of a chunk, whose number is negative.
+    """
 
     def work(number: int, chunk: Chunk, got: Answers) -> Iterator[pa.RecordBatch]:
         rows = list(emit(chunk, got))
+        if group > 1:
+            own: dict[int, list[tuple[int, bytes]]] = {}
+            for b, x in rows:
+                own.setdefault(-1 - b // group, []).append((b, x))
+            rows = [(b, pack(x)) for b, x in own.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "chunk", "blob"])
 
     def answer(t: pa.Table) -> pa.Table:
-        blobs = solve(t.column("blob").to_pylist())
+        blobs = t.column("blob").to_pylist()
+        blobs = solve(blobs) if group == 1 else solve_group(blobs, solve)
         return pa.table({"bucket": t.column("bucket"), "chunk": t.column("chunk"), "blob": pa.array(blobs, pa.binary())})
 
     return materialize(each_chunk(manifest, rounds, work, ROWS).groupBy("bucket").applyInArrow(answer, ROWS), name)

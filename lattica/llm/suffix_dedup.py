@@ -5,7 +5,7 @@ stands. A first Spark round tells which anchors occur in more than one document;
 without such an anchor are unique. A second round sends what is left, as the distinct segments of consecutive
 strings with one anchor, to the anchor's bucket, so that all occurrences of a string meet in one
 bucket. Segments alike are one there. Where an anchor has several different segments, the bucket builds a run-length
-index of them (run_index) and streams their matching statistics: where a match reaches 50 bytes, the
+index of the runs of their strings whose hashes come twice (run_index) and streams their matching statistics: where a match reaches 50 bytes, the
 index's sample gives the smallest document that has it. An anchor with very many segments is hot: its strings are dealt
 one by one, by their 128-bit hashes, so that no task gets an unbounded group.
 """
@@ -21,13 +21,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm.chunks import Answers, Chunk, Prefix, ask, bucket_bounds, bucket_count, covered, distinct, each_chunk, mix, write_chunks
+from lattica.llm.chunks import Answers, Chunk, Prefix, _u, ask, bucket_bounds, bucket_count, distinct, each_chunk, mix, together, write_chunks
 from lattica.llm.run_index import RunIndex, ranges
 from lattica.llm.shared import table
 
 GRAM = 24
 #: Strings that a segment has at most; longer ones (bytes that repeat with a short period) are cut.
 SEGMENT = 4096
+#: Strings that a text of an index has at most: all texts are streamed side by side, so that a few long ones would take a step for each symbol.
+RUN = 256
 #: Segments from which on an anchor is hot.
 HOT = 4096
 #: Text behind a bucket, about.
@@ -35,15 +37,48 @@ BUCKET = 8 << 20
 LAST = np.iinfo(np.int64).max
 
 
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each width consecutive elements, by doubling."""
-    n, span = len(x) - width + 1, 1
+#: Places whose hashes are made at a time, so that what is in hand stays in a core's cache.
+BLOCK = 1 << 15
+_MIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def least_hashes(data: np.ndarray, gram: int, span: int = 1) -> np.ndarray:
+    """The least hash of span consecutive grams, from each place on where they fit; equal grams have equal hashes, and others may."""
+    n = len(data) - gram - span + 2
     if n <= 0:
-        return x[:0]
-    while span * 2 <= width:
-        x = np.minimum(x[:-span], x[span:])
-        span *= 2
-    return np.minimum(x[:n], x[width - span : width - span + n]) if span < width else x[:n]
+        return np.zeros(0, _u)
+    # eight bytes from any place on, as a number
+    words = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))
+    offsets = [*range(8, gram - 8, 8), *([gram - 8] if gram > 8 else [])]
+    reach, out = max(0, gram - 8), np.empty(n, _u)
+    own, one, two = (np.empty(min(n, BLOCK) + span + more, _u) for more in (reach, 0, 0))
+    for s in range(0, n, BLOCK):
+        m = min(BLOCK, n - s)
+        size = m + span - 1
+        w, x, y = own[: size + reach], one[:size], two[:size]
+        np.copyto(w, words[s : s + len(w)])
+        if gram < 8:
+            w &= _u((1 << 8 * gram) - 1)
+        np.multiply(w[:size], _u(_MIX[0]), out=x)
+        for o in offsets:
+            x ^= np.right_shift(x, _u(32), out=y)
+            x += w[o : o + size]
+            x *= _u(_MIX[1])
+        x ^= np.right_shift(x, _u(32), out=y)
+        x *= _u(_MIX[0])
+        have = 1  # grams behind each minimum, by doubling
+        while have * 2 <= span:
+            x, y = np.minimum(x[:-have], x[have:], out=y[: len(x) - have]), x
+            have *= 2
+        out[s : s + m] = np.minimum(x[:m], x[span - have : span - have + m])
+    return out
+
+
+def in_parts(begin: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, size) of runs cut to this size at most, and how many parts there are of each."""
+    parts = -(-size // most)
+    past = ranges(np.zeros(len(parts), np.int64), parts) * most
+    return np.repeat(begin, parts) + past, np.minimum(np.repeat(size, parts) - past, most), parts
 
 
 class Segments:
@@ -51,31 +86,36 @@ class Segments:
 
     def __init__(self, chunk: Chunk, width: int):
         gram = min(GRAM, width)
-        self.prefix = Prefix.of_bytes(chunk.data)
-        anchors = sliding_min(self.prefix.grams(gram), width - gram + 1)
-        n = len(anchors)
-        limit = np.repeat(chunk.end, chunk.end - chunk.start + 1)[:n]
-        at = np.flatnonzero(np.arange(n) + width <= limit)
-        doc = np.repeat(np.arange(len(chunk.ids)), chunk.end - chunk.start + 1)[at]
-        key = anchors[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(at)))
+        anchors = least_hashes(chunk.data, gram, width - gram + 1)
+        long = np.flatnonzero(chunk.end - chunk.start >= width)
+        start, stop = chunk.start[long], chunk.end[long] - width + 1  # where a document's strings start
+        new = np.zeros(len(anchors) + 1, bool)
+        new[1:-1] = anchors[1:] != anchors[:-1]
+        new[start] = new[stop] = True
+        at = np.flatnonzero(new)
+        lo = np.searchsorted(at, start)
+        count = np.searchsorted(at, stop) - lo
+        rows, doc = ranges(lo, count), np.repeat(long, count)
+        begin = at[rows]
+        size = at[rows + 1] - begin
         if len(size) and size.max() > SEGMENT:
-            first = np.flatnonzero(new | ((np.arange(len(at)) - np.repeat(first, size)) % SEGMENT == 0))
-            size = np.diff(np.append(first, len(at)))
-        self.begin, self.strings = at[first], size
+            begin, size, parts = in_parts(begin, size, SEGMENT)
+            doc = np.repeat(doc, parts)
         # minima of hashes are small; mixed again, they deal evenly to buckets
-        self.key, self.doc, self.width = mix(key[first]), doc[first], width
+        self.begin, self.strings, self.key, self.doc, self.width = begin, size, mix(anchors[begin]), doc, width
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(distinct anchors ascending, place of each segment's anchor among them, its segments, whether several documents of the chunk have it)."""
-        first, place, counts = distinct(self.key)
-        least, most = np.full(len(first), len(self.doc) + 1, np.int64), np.full(len(first), -1, np.int64)
-        np.minimum.at(least, place, self.doc)
-        np.maximum.at(most, place, self.doc)
-        return self.key[first], place, counts, most > least
+        order = np.argsort(self.key)
+        keys = self.key[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(new)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.cumsum(new) - 1
+        doc = self.doc[order]
+        several = np.append(doc[1:] != doc[:-1], False) & ~np.append(new[1:], True)  # some neighbours of one anchor are of two documents
+        return keys[at], place, np.diff(np.append(at, len(keys))), np.logical_or.reduceat(several, at) if len(at) else new
 
     def pick(self, rows: np.ndarray) -> None:
         self.begin, self.strings, self.key, self.doc = (x[rows] for x in (self.begin, self.strings, self.key, self.doc))
@@ -103,13 +143,12 @@ def solve_anchors(blobs: list[bytes]) -> list[bytes]:
 
 
 def received_anchors(keys: np.ndarray, answers: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     own, bounds = bucket_bounds(keys, buckets)
-    for k, b in enumerate(own):
-        n = bounds[k + 1] - bounds[k]
-        both = np.frombuffer(answers[int(b)], np.uint8)
-        shared[bounds[k] : bounds[k + 1]] = np.unpackbits(both[: len(both) // 2], count=n)
-        hot[bounds[k] : bounds[k + 1]] = np.unpackbits(both[len(both) // 2 :], count=n)
+    bits = np.unpackbits(np.frombuffer(b"".join(answers[int(b)] for b in own), np.uint8))
+    n = np.diff(bounds)
+    half = -(-n // 8) * 8  # bits of either answer, with those that fill a byte
+    begin = np.cumsum(2 * half) - 2 * half
+    shared, hot = (bits[ranges(x, n)].astype(bool) for x in (begin, begin + half))
     return shared, hot
 
 
@@ -120,10 +159,9 @@ class Shared:
         s = self.segments = Segments(chunk, width)
         keys, place, *_ = s.keys()
         shared, hot = (x[place] for x in received_anchors(keys, answers, buckets))
-        second = Prefix.of_bytes(chunk.data, 1)
         strings = s.strings[hot]
         self.at, self.at_doc = ranges(s.begin[hot], strings), np.repeat(s.doc[hot], strings)
-        self.hi, self.lo = (p.spans(self.at, self.at + width) for p in (s.prefix, second))
+        self.hi, self.lo = (Prefix.of_bytes(chunk.data, k).spans(self.at, self.at + width) if len(self.at) else np.zeros(0, _u) for k in (0, 1))
         self.hot_first, self.hot_place, _ = distinct(self.hi, self.lo)
         s.pick(np.flatnonzero(shared & ~hot))
         sizes = s.strings + width - 1
@@ -146,10 +184,12 @@ class Shared:
         begin, key = s.begin[self.rows], s.key[self.rows]
         sizes = s.strings[self.rows] + s.width - 1
         own, bounds = bucket_bounds(key, buckets)
+        ends = np.append(0, np.cumsum(sizes))[bounds]
+        text, short, ids, group = data[ranges(begin, sizes)], sizes.astype("<u4"), self.ids.astype("<i8"), key.astype("<u4")
         for k, b in enumerate(own):
             r = slice(bounds[k], bounds[k + 1])
-            text = data[ranges(begin[r], sizes[r])]
-            yield int(b), codec.compress(struct.pack("<BI", 0, len(begin[r])) + sizes[r].astype("<u4").tobytes() + self.ids[r].astype("<i8").tobytes() + key[r].astype("<u4").tobytes() + text.tobytes())
+            parts = [short[r], ids[r], group[r], text[ends[k] : ends[k + 1]]]
+            yield int(b), codec.compress(struct.pack("<BI", 0, r.stop - r.start) + b"".join(x.tobytes() for x in parts))
         hi, lo = self.hi[self.hot_first], self.lo[self.hot_first]
         own, bounds = bucket_bounds(hi, buckets)
         for k, b in enumerate(own):
@@ -200,6 +240,26 @@ def _solve_hot(raw: list[bytes]) -> list[bytes]:
     return _split(least[place], sizes)
 
 
+def repeated(text: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, segment, strings) of the runs of strings whose hashes are not alone; segments stand one after another.
+
+    Equal strings have equal hashes, so no string that comes twice is left out. Whether strings of one hash are equal is left to the index.
+    """
+    begin, strings = np.cumsum(sizes) - sizes, sizes - width + 1
+    hashes = least_hashes(text, width)[ranges(begin, strings)]
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    alike = ordered[1:] == ordered[:-1]
+    # a place after each segment stays empty, so that runs end with it
+    begin += np.arange(len(sizes))
+    at, twice = ranges(begin, strings), np.zeros(len(text) + len(sizes) + 1, bool)
+    twice[at[order[1:][alike]]] = twice[at[order[:-1][alike]]] = True
+    edge = np.flatnonzero(np.diff(twice, prepend=False))
+    first, runs, _ = in_parts(edge[::2], edge[1::2] - edge[::2], RUN)
+    of = np.searchsorted(begin, first, "right") - 1
+    return first - of, of, runs
+
+
 def _solve_segments(width: int, raw: list[bytes]) -> list[bytes]:
     ns = [struct.unpack_from("<I", x, 1)[0] for x in raw]
     sizes, ids, group, text = (
@@ -219,14 +279,30 @@ def _solve_segments(width: int, raw: list[bytes]) -> list[bytes]:
     if len(several):
         own = sizes[first][several]
         part = text[ranges(begin[first][several], own)]
-        found = RunIndex(part, own, least[several], width).stream(part, own)
-        answer[ranges(offset[several], strings[several])] = found[ranges(np.cumsum(own) - own, strings[several])]
+        at, of, runs = repeated(part, own, width)
+        own = runs + width - 1
+        to = offset[several][of] + at - (np.cumsum(sizes[first][several]) - sizes[first][several])[of]
+        part = part[ranges(at, own)]
+        found = RunIndex(part, own, least[several][of], width).stream(part, own)
+        answer[ranges(to, runs)] = found[ranges(np.cumsum(own) - own, runs)]
     out = answer[ranges(offset[place], strings[place])]
     per_row = np.append(0, np.cumsum(strings[place]))
     ends = np.cumsum(ns)
     return _split(out, [int(per_row[e] - per_row[e - n]) for e, n in zip(ends, ns, strict=True)])
 
 
+def spans(starts: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, stops) of the maximal runs of the n places that the strings of this width at starts cover."""
+    own = np.zeros(n + 1, bool)
+    own[starts] = True
+    edge = np.flatnonzero(own[1:] != own[:-1]) + 1
+    if own[0]:
+        edge = np.append(0, edge)
+    a, b = edge[::2], edge[1::2] + width - 1
+    apart = a[1:] > b[:-1]
+    return a[np.append(True, apart)[: len(a)]], b[np.append(apart, True)[: len(b)]]
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string"
 
 
@@ -250,11 +326,9 @@ def drop_matches(docs: DataFrame, width: int = 50, with_text: bool = True) -> Da
 
     def finish(number: int, chunk: Chunk, got: Answers) -> Iterator[pa.RecordBatch]:
         at, doc, least = Shared(chunk, width, got[0], buckets).receive(got[1], buckets)
-        gone = covered(at[least < chunk.ids[doc]], width, len(chunk.data))
-        edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
-        starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        starts, stops = spans(at[least < chunk.ids[doc]], width, len(chunk.data))
         lo, hi = np.searchsorted(starts, chunk.start), np.searchsorted(starts, chunk.end)
-        removed, kept, spans = [], [], []
+        removed, kept, cut = [], [], []
         for k, (a, b) in enumerate(zip(chunk.start.tolist(), chunk.end.tolist(), strict=True)):
             cuts = list(zip(starts[lo[k] : hi[k]].tolist(), stops[lo[k] : hi[k]].tolist(), strict=True))
             parts, at = [], a
@@ -263,14 +337,14 @@ def drop_matches(docs: DataFrame, width: int = 50, with_text: bool = True) -> Da
                 at = y
             kept.append(b"".join([*parts, chunk.raw[at:b]]))
             removed.append(sum(y - x for x, y in cuts))
-            spans.append([{"start": x - a, "stop": y - a} for x, y in cuts])
+            cut.append([{"start": x - a, "stop": y - a} for x, y in cuts])
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        arrays = [pa.array(chunk.id_list(), pa.int64()), pa.array(chunk.end - chunk.start, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, span)]
+        arrays = [pa.array(chunk.id_list(), pa.int64()), pa.array(chunk.end - chunk.start, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(x) for x in cut], pa.int64()), pa.array(cut, span)]
         text = pa.array(kept if with_text else [None] * len(kept), pa.binary())
         yield pa.RecordBatch.from_arrays([*arrays, text, pa.array([hashlib.sha256(x).hexdigest() for x in kept])], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
 
-    shared = ask(manifest, [], anchors, solve_anchors, "anchors")
-    least = ask(manifest, [shared], segments, lambda blobs: solve_least(width, blobs), "segments")
+    shared = ask(manifest, [], anchors, solve_anchors, "anchors", together(buckets))
+    least = ask(manifest, [shared], segments, lambda blobs: solve_least(width, blobs), "segments", together(buckets))
     return each_chunk(manifest, [shared, least], finish, RESULT)
 
 
