@@ -47,6 +47,15 @@ def _path(spark, n=14):
     return _graph(spark, {e: 1 for k in range(n) for e in ((k, k + 1), (k + 1, k))}, n + 1)
 
 
+def test_diameter(spark, monkeypatch, edges):
+    one, rounds = _both(monkeypatch, lambda: alg.diameter(_graph(spark, edges, 100), 0, 12))
+    assert one == rounds
+
+
+def test_diameter_jobs(spark):
+    assert _jobs(spark, lambda: alg.diameter(_path(spark), 0, 3)) < 14
+
+
 def test_breadth_first(spark, monkeypatch, edges):
     one, rounds = _both(monkeypatch, lambda: _rows(alg.bfs(_graph(spark, edges, 100), 0).df))
     assert one == rounds
