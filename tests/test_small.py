@@ -56,6 +56,21 @@ def test_diameter_jobs(spark):
     assert _jobs(spark, lambda: alg.diameter(_path(spark), 0, 3)) < 14
 
 
+def test_components(spark, monkeypatch, edges):
+    one, rounds = _both(monkeypatch, lambda: _rows(alg.connected_components(_graph(spark, edges, 100)).df))
+    assert one == rounds and len(one) == 100
+
+
+def test_components_of_a_path_against_its_order(spark):
+    order = np.random.default_rng(1).permutation(300)
+    a = _graph(spark, {(int(a), int(b)): 1 for a, b in zip(order, order[1:])}, 302)
+    assert [l for _, l in _rows(alg.connected_components(a).df)] == [0] * 300 + [300, 301]
+
+
+def test_components_jobs(spark):
+    assert _jobs(spark, lambda: alg.connected_components(_path(spark, 40)).df.count()) < 16
+
+
 def test_breadth_first(spark, monkeypatch, edges):
     one, rounds = _both(monkeypatch, lambda: _rows(alg.bfs(_graph(spark, edges, 100), 0).df))
     assert one == rounds
