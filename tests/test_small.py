@@ -71,6 +71,17 @@ def test_components_jobs(spark):
     assert _jobs(spark, lambda: alg.connected_components(_path(spark, 40)).df.count()) < 16
 
 
+def test_paths(spark, monkeypatch, edges):
+    for kind in ("long", "double"):
+        with monkeypatch.context() as m:
+            one, rounds = _both(m, lambda kind=kind: _rows(alg.sssp(_graph(spark, edges, 100, kind), 0, dense=False).df))
+        assert one == rounds and type(one[0][1]) is type(rounds[0][1])
+
+
+def test_paths_jobs(spark):
+    assert _jobs(spark, lambda: alg.sssp(_path(spark), 0).df.count()) < 14
+
+
 def test_breadth_first(spark, monkeypatch, edges):
     one, rounds = _both(monkeypatch, lambda: _rows(alg.bfs(_graph(spark, edges, 100), 0).df))
     assert one == rounds
